@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What separates words: space and the control characters 9 to 13.
@@ -80,19 +79,6 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for words met again; the store is emptied when it has 500,000 words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3, elementwise."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -105,14 +91,86 @@ def factors(k: int) -> np.ndarray:
     return mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+_FACTORS = factors(64)
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte; upper case A-Z as lower, blanks 0.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BYTES[65:91] = _BYTES[97:123]
+_BYTES[_BLANK] = 0
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+SEGMENT = 1 << 20
+
+
+def _raised(n: int) -> list[np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, np.uint64(base))
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def _segment_hashes(raw: np.ndarray) -> np.ndarray:
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = _BLANK[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[0::2], edges[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _raised(max(len(raw), 4096))
+    sums = _BYTES[raw]
+    sums *= up[: len(raw)]
+    sums = np.cumsum(sums)[end - 1]
+    sums[1:] -= sums[:-1].copy()
+    return mixed(sums * down[start])
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hash of each run of bytes other than blanks, A-Z lowered, in order.
+
+    A word's hash is a polynomial in random numbers for its bytes, from differences of one running sum over the
+    text, then mixed. Long texts go by segments that end between words.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(text, np.uint8)
+    if len(raw) <= SEGMENT:
+        return _segment_hashes(raw)
+    found, at = [], 0
+    while at < len(raw):
+        size = SEGMENT
+        while True:
+            end = min(len(raw), at + size)
+            cut = end if end == len(raw) else at + int(np.flatnonzero(np.append(True, _BLANK[raw[at:end]]))[-1])
+            if cut > at:
+                break
+            size *= 2
+        found.append(_segment_hashes(raw[at:cut]))
+        at = cut
+    return np.concatenate(found)
+
+
 def windows(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, in order; of the whole sequence where it is shorter, none where it is empty."""
     n = len(words)
     if not n:
         return words
     size = min(n, k)
-    with np.errstate(over="ignore"):
-        total = np.full(n - size + 1, size, np.uint64)
-        for i, factor in enumerate(factors(size)):
-            total += words[i : n - size + 1 + i] * factor
-        return mixed(total)
+    total = words[: n - size + 1] * _FACTORS[0] + np.uint64(size)
+    for i in range(1, size):
+        total += words[i : n - size + 1 + i] * _FACTORS[i]
+    return mixed(total)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    if len(x) < 2:
+        return x
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WordHashes, bitmap, in_bitmap, stored, windows
+from .common import bitmap, distinct, in_bitmap, mixed, stored, windows, word_hashes
 from .components import components
 
 SKETCH_BITS = 16
@@ -29,7 +29,7 @@ class Rule:
 
     def shingles(self, hashes: np.ndarray) -> np.ndarray:
         """The distinct shingles in ascending order."""
-        return np.unique(windows(hashes, self.words))
+        return distinct(windows(hashes, self.words))
 
     def prefix(self, n: int) -> int:
         """So many of a set's first elements, in any order common to all sets, meet those of each linked set."""
@@ -58,10 +58,6 @@ def folded(bits: bytes, width: int) -> np.ndarray:
     return words
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -71,23 +67,24 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _describe(rule: Rule):
-    """Of each document: identifier, class and set size; at the end counts of the words seen, by bucket."""
+    """Of each document: identifier, class, set size and signature; at the end counts of the words seen, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("kind", pa.int32())])
+        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("kind", pa.int32())])
         for batch in batches:
-            nodes, sizes, spots = [], [], [np.zeros(0, np.int64)]
+            nodes, sizes, bits, spots = [], [], [], [np.zeros(0, np.int64)]
             for text in batch.column(1).to_pylist():
-                words = hashes.of(_words(text))
+                words = word_hashes(text)
                 spots.append(_signed(words & np.uint64(len(seen) - 1)))
                 found = rule.shingles(words)
                 nodes.append(_node(found) if len(found) else None)
                 sizes.append(len(found))
+                bits.append(signature(found) if len(found) else None)
             seen += np.bincount(np.concatenate(spots), minlength=len(seen))
-            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(sizes), np.int32))], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(len(sizes), np.int32))], schema=schema)
         used = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(used), pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.array(np.ones(len(used), np.int32))], schema=schema)
+        yield pa.record_batch([pa.array(used), pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.nulls(len(used), pa.binary()), pa.array(np.ones(len(used), np.int32))], schema=schema)
 
     return run
 
@@ -95,30 +92,32 @@ def _describe(rule: Rule):
 def _prefixes(rule: Rule, weights: np.ndarray):
     """key, node and set size for the first shingles of each set, those of rare words first.
 
-    weights holds a logarithm of each word bucket's count; the order is by their sum, then by hash. It is the same
-    for all documents, which is all that the join's correctness needs. A class met again in a task is left out.
+    weights holds a logarithm of each word bucket's count. A shingle's key is the sum of its words' weights above
+    52 bits of its hash, and the order is that of the keys: the same for all documents, which is all that the
+    join's correctness needs. A class met again in a task is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
+        done: set[int] = set()
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for text in batch.column(0).to_pylist():
-                words = hashes.of(_words(text))
+                words = word_hashes(text)
                 if not len(words):
                     continue
-                all_ = windows(words, rule.words)
-                found, first = np.unique(all_, return_index=True)
+                hashes = windows(words, rule.words)
+                found = distinct(hashes)
                 node = _node(found)
                 if node in done:
                     continue
                 done.add(node)
-                one = weights[(words & np.uint64(len(weights) - 1)).astype(np.int64)]
-                size = len(words) - len(all_) + 1
-                heavy = np.convolve(one, np.ones(size, np.int64), "valid")[first]
-                order = np.argsort(heavy.astype(np.uint64) << np.uint64(52) | found >> np.uint64(12), kind="stable")
-                take = order[: rule.prefix(len(found))]
-                keys.append(_signed(found[take]))
+                one = weights[words & np.uint64(len(weights) - 1)]
+                size = len(words) - len(hashes) + 1
+                heavy = one[: len(hashes)].copy()
+                for i in range(1, size):
+                    heavy += one[i : i + len(hashes)]
+                take = distinct(np.minimum(heavy, np.uint64(2047)) << np.uint64(52) | hashes >> np.uint64(12))[: rule.prefix(len(found))]
+                keys.append(_signed(take))
                 nodes.append(np.full(len(take), node, np.int64))
                 sizes.append(np.full(len(take), len(found), np.int64))
             if keys:
@@ -128,105 +127,120 @@ def _prefixes(rule: Rule, weights: np.ndarray):
 
 
 def _sets(rule: Rule, needed: np.ndarray):
-    """node, sorted shingles and signature of the documents whose identifier may be needed."""
+    """node and sorted shingles of the documents whose identifier may be needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             wanted = np.flatnonzero(in_bitmap(needed, ids.view(np.uint64)))
             rows = []
             for text in batch.column(1).take(pa.array(wanted)).to_pylist():
-                found = rule.shingles(hashes.of(_words(text)))
+                found = rule.shingles(word_hashes(text))
                 if len(found):
-                    rows.append((_node(found), signature(found), found.tobytes()))
+                    rows.append((_node(found), found.tobytes()))
             if rows:
-                node, bits, items = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.binary())], names=["node", "bits", "items"])
+                node, items = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
 
     return run
 
 
-def links_in_tile(rule: Rule, node: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], items: list[bytes]) -> list[tuple[int, int]]:
-    """Links that, with those known before, join what is linked within one tile.
+def _joined_in_tile(rule: Rule, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], items: list[bytes] | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Labels of the rows after joining what is linked, and the links used.
 
     Rows of side 2 meet each other, others only rows of the other side. A pair whose rows are joined already is
-    passed over, so that a clique costs one link a row. Signatures bound the overlap from above; the pairs left
-    are settled by intersecting the sorted arrays.
+    passed over, so that a clique costs one link a row. Signatures bound the overlap from above; with items, the
+    pairs left are settled by intersecting the sorted arrays, without they count as links.
     """
     order = np.argsort(n, kind="stable")
-    node, n, side = node[order], n[order], side[order]
+    n, side = n[order], side[order]
     label = np.unique(comp[order], return_inverse=True)[1]
     width = min(len(b) for b in bits) * 8
     matrix = np.stack([folded(bits[i], width) for i in order])
-    arrays: dict[int, np.ndarray] = {}
-
-    def array(i: int) -> np.ndarray:
-        if i not in arrays:
-            arrays[i] = np.frombuffer(items[order[i]], np.uint64)
-        return arrays[i]
-
     found = []
     ends = np.searchsorted(n, n * 100 // rule.percent, "right")
     for i in range(len(n) - 1):
         rest = np.arange(i + 1, ends[i])
-        if not len(rest):
-            continue
         rest = rest[(label[rest] != label[i]) & ((side[rest] != side[i]) if side[i] < 2 else (side[rest] == 2))]
         if not len(rest):
             continue
         total = n[rest] + n[i]
         apart = np.bitwise_count(matrix[rest] ^ matrix[i]).sum(1, dtype=np.int64)
-        for j in rest[(total - apart) // 2 >= rule.least_overlap(total)]:
+        for j in rest[(total - apart) // 2 >= rule.least_overlap(total)].tolist():
             if label[j] == label[i]:
                 continue
-            common = len(np.intersect1d(array(i), array(j), assume_unique=True))
-            if 100 * common >= rule.percent * (n[i] + n[j] - common):
-                found.append((int(node[i]), int(node[j])))
-                label[label == label[j]] = label[i]
-    return found
+            if items is not None:
+                one, other = (np.frombuffer(items[order[x]], np.uint64) for x in (i, j))
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * common < rule.percent * (n[i] + n[j] - common):
+                    continue
+            found.append((int(order[i]), int(order[j])))
+            label[label == label[j]] = label[i]
+    labels = np.empty_like(label)
+    labels[order] = label
+    return labels, found
 
 
-def _in_tiles(rule: Rule):
-    """Links of rows that come sorted by tile; a tile may go on in the next batch."""
-    names = ("tile", "node", "comp", "side")
+def _over_tiles(one_tile, columns: list[str], schema: pa.Schema):
+    """A map over rows that come sorted by tile, of which one may go on in the next batch; tiles of one row are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
+            table = table if rest is None else pa.concat_tables([rest, table])
             tiles = table["tile"].to_numpy()
-            last = int(np.flatnonzero(tiles == tiles[-1])[0])
+            last = int(np.flatnonzero(tiles == tiles[-1])[0]) if len(tiles) else 0
             rest = table.slice(last)
             if last:
-                yield from links(table.slice(0, last))
-        if rest is not None:
-            yield from links(rest)
-
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        tile, node, comp, side = (table[x].to_numpy() for x in names)
-        bits, items = table["bits"].to_pylist(), table["items"].to_pylist()
-        n = np.array([len(x) // 8 for x in items])
+                yield from whole(table.slice(0, last))
+        if rest is not None and len(rest):
+            yield from whole(rest)
+
+    def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        tile = table["tile"].to_numpy()
+        cols = [table[c].to_numpy() if table.schema.field(c).type == pa.int64() else table[c].to_pylist() for c in columns]
         starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-        found = []
-        for at, to in zip(starts, [*starts[1:], len(tile)], strict=True):
+        out: list[tuple] = []
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)], strict=True):
             if to - at > 1:
-                s = slice(at, to)
-                found += links_in_tile(rule, node[s], n[s], comp[s], side[s], bits[s], items[s])
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                out += one_tile(int(tile[at]), *(c[at:to] for c in cols))
+        if out:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _tile_links(rule: Rule, rows: DataFrame) -> DataFrame:
-    """a and b, from rows with tile, node, comp, side, bits and items."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select("tile", "node", "comp", "side", "bits", "items").repartition(parts, "tile").sortWithinPartitions("tile")
-    return stored(dealt.mapInArrow(_in_tiles(rule), "a long, b long"))
+def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, schema)
+
+
+def _tile_links(rule: Rule, tiles: DataFrame, signatures: DataFrame, sets_of) -> DataFrame:
+    """Links a and b that join what is linked within tiles (tile, node, comp, side).
+
+    First by signatures alone, small beside the sets: what they may join within a tile forms a group. Then the sets
+    of the groups' rows are read from the text, and each group is settled exactly, as a tile of its own.
+    """
+
+    def propose(tile, node, comp, side, n, bits):
+        labels, found = _joined_in_tile(rule, n, comp, side, bits, None)
+        if not found:
+            return []
+        met = np.isin(labels, labels[[i for pair in found for i in pair]])
+        group = mixed(labels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tile & (1 << 64) - 1)).view(np.int64)
+        return [(int(group[i]), int(node[i]), int(comp[i]), int(side[i]), int(n[i]), bits[i]) for i in np.flatnonzero(met)]
+
+    def settle(tile, node, comp, side, n, bits, items):
+        return [(int(node[i]), int(node[j])) for i, j in _joined_in_tile(rule, n, comp, side, bits, items)[1]]
+
+    whole = [("tile", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("side", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())]
+    columns = [c for c, _ in whole[1:]]
+    rows = tiles.join(signatures, "node").select("tile", *columns)
+    groups = stored(_by_tile(rows, _over_tiles(propose, columns, pa.schema(whole)), "tile long, node long, comp long, side long, n long, bits binary"))
+    rows = groups.join(sets_of(groups.select("node").distinct()), "node").select("tile", *columns, "items")
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return stored(_by_tile(rows, _over_tiles(settle, [*columns, "items"], links), "a long, b long"))
 
 
 def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -244,19 +258,18 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows a side; a key with more rows is cut into slices. Two cheap rounds first join what meets in one slice
     under a class's smallest key; keys whose rows are then all joined need no more work. For the others every
     pair of slices is compared. Within a tile, pairs joined already are passed over, so a group of copies costs
-    links in proportion to its size. The text is read three times; only keys, identifiers and the sets of classes
-    that share a key are shuffled. What reaches the driver are two tables of fixed size: word counts by bucket
+    links in proportion to its size, and signatures alone decide whose sets are fetched. The text is read three
+    times, or four; shuffled are keys, identifiers, signatures, and the sets of what signatures could not tell apart. What reaches the driver are two tables of fixed size: word counts by bucket
     and a bitmap of needed identifiers, in which false hits cost time only.
 
     Shingles and classes are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    described = stored(texts.mapInArrow(_describe(rule), "doc_id long, node long, n long, kind int"), "kind")
+    described = stored(texts.mapInArrow(_describe(rule), "doc_id long, node long, n long, bits binary, kind int"), "kind")
     sets = described.where("kind = 0").select("doc_id", "node", "n")
     counts = described.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
-    weights = np.zeros(1 << SKETCH_BITS, np.int64)
-    weights[counts["doc_id"].to_numpy()] = (16 * np.log2(1 + counts["n"].to_numpy())).astype(np.int64)
+    weights = np.zeros(1 << SKETCH_BITS, np.uint64)
+    weights[counts["doc_id"].to_numpy()] = (8 * np.log2(1 + counts["n"].to_numpy())).astype(np.uint64)
 
     keys = texts.select("text").mapInArrow(_prefixes(rule, weights), "key long, node long, n long")
     in_key = W.partitionBy("key").orderBy("node")
@@ -270,26 +283,24 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .distinct()
         .withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / rule.percent))).cast("int"))
     )
-    wanted = member.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("id")), "node")
-    needed = bitmap(wanted, F.col("id"), NEED_BITS)
-    arrays = stored(texts.where("doc_id is not null").mapInArrow(_sets(rule, needed), "node long, bits binary, items binary"))
+    wanted = member.select("node").distinct().join(classes.select("node", "doc_id"), "node")
+    signatures = stored(described.where("kind = 0").select("doc_id", "node", "n", "bits").join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node and items, at least of these nodes, by one more pass over the text."""
+        needed = bitmap(nodes.join(classes, "node"), F.col("doc_id"), NEED_BITS)
+        return stored(texts.where("doc_id is not null").mapInArrow(_sets(rule, needed), "node long, items binary"))
 
     # rounds in slices, under the smallest key by either of two orders
-    links = None
+    rounds = []
     for seed in (1, 2):
         own = member.groupBy("node").agg(F.min(F.struct(F.xxhash64("key", F.lit(seed)), "band")).alias("first"))
         own = own.select("node", F.xxhash64("first", F.lit(seed)).alias("spot"))
-        many = own.groupBy("spot").agg(F.count("*").alias("rows"))
-        own = own.join(many, "spot").where("rows > 1").select(
-            "node",
-            F.xxhash64("spot", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("rows") / TILE_ROWS))).alias("tile"),
-        )
-        rows = arrays.join(own, "node").withColumns({"comp": F.col("node"), "side": F.lit(2)})
-        if links is not None:
-            known = components(links).withColumnRenamed("root", "comp")
-            rows = rows.drop("comp").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        new = _tile_links(rule, rows)
-        links = new if links is None else stored(links.unionAll(new).distinct())
+        many = own.groupBy("spot").agg(F.count("*").alias("rows")).where("rows > 1")
+        slice_ = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("rows") / TILE_ROWS))
+        rounds.append(own.join(many, "spot").select("node", F.xxhash64("spot", slice_).alias("tile")))
+    tiles = rounds[0].unionAll(rounds[1]).select("tile", "node", F.col("node").alias("comp"), F.lit(2).cast("long").alias("side"))
+    links = _tile_links(rule, tiles, signatures, sets_of)
     known = components(links)
 
     # keys that still hold rows of more than one component
@@ -305,18 +316,18 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         within = at.select("*", each).select(
             "node", "comp",
             F.xxhash64("key", "band", F.lit(0), F.least("slice", "j"), F.greatest("slice", "j")).alias("tile"),
-            F.when(F.col("slice") == F.col("j"), 2).when(F.col("slice") < F.col("j"), 0).otherwise(1).alias("side"),
+            F.when(F.col("slice") == F.col("j"), 2).when(F.col("slice") < F.col("j"), 0).otherwise(1).cast("long").alias("side"),
         )
         every = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j")
         lower = at.join(other.withColumn("band", F.col("band") - 1), ["key", "band"]).select("*", every).select(
-            "node", "comp", F.xxhash64("key", "band", F.lit(1), "slice", "j").alias("tile"), F.lit(0).alias("side")
+            "node", "comp", F.xxhash64("key", "band", F.lit(1), "slice", "j").alias("tile"), F.lit(0).cast("long").alias("side")
         )
         upper = at.withColumn("band", F.col("band") - 1).join(other, ["key", "band"]).select("*", every).select(
-            "node", "comp", F.xxhash64("key", "band", F.lit(1), "j", "slice").alias("tile"), F.lit(1).alias("side")
+            "node", "comp", F.xxhash64("key", "band", F.lit(1), "j", "slice").alias("tile"), F.lit(1).cast("long").alias("side")
         )
         placed = stored(within.unionAll(lower).unionAll(upper))
         live = placed.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-        more = _tile_links(rule, placed.join(live, "tile", "left_semi").join(arrays, "node"))
+        more = _tile_links(rule, placed.join(live, "tile", "left_semi"), signatures, sets_of)
         if not more.isEmpty():
             known = components(links.unionAll(more))
 
