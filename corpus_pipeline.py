@@ -42,12 +42,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies and the virtual finish time of the first.
 
-    Rows that share doc_id and text have one decision, that of the row the mix takes most.
+    Rows that share a doc_id have one decision, that of the row the mix takes most.
     """
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     mixed = stored(mixing.mixture(docs))
-    keys = mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("finish").alias("finish"))
-    return docs.drop("text_hash").join(keys, "doc_id")
+    keys = stored(mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")))
+    return docs.join(small_side(keys, FEW), "doc_id")
 
 
 STAGES = [
