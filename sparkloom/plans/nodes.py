@@ -43,7 +43,7 @@ class Lit(Node):
 
 @_node
 class Param(Node):
-    name: str | None  # None: positional
+    name: str  # of a positional one: ? and its number from 0
 
 
 @_node

@@ -35,7 +35,7 @@ class Parser:
             raise SqlError(f"unknown dialect {dialect}; known are {', '.join(DIALECTS)}")
         self.dialect = DIALECTS[dialect]
         self.tokens = tokens(text, self.dialect)
-        self.at = 0
+        self.at = self.positional = 0
 
     # tokens
 
@@ -165,7 +165,8 @@ class Parser:
             self.at += 1
             return N.Param(t.text)
         if self.take("?"):
-            return N.Param(None)
+            self.positional += 1
+            return N.Param(f"?{self.positional - 1}")
         if self.take("NOT"):
             return N.Un("NOT", self.expr(NOT))
         for sign in "+-~":
