@@ -42,7 +42,7 @@ def spark_type(name: str, args: tuple, dims: int) -> str:
 
 def date_pattern(text: str) -> str:
     """A MySQL %-pattern as a Spark pattern; letters that stand for themselves are quoted."""
-    out, at = "", 0
+    out, at, quoted_run = "", 0, False
     while at < len(text):
         c = text[at]
         if c == "%" and at + 1 < len(text):
@@ -50,7 +50,11 @@ def date_pattern(text: str) -> str:
                 raise SqlError(f"pattern %{text[at + 1]} has no counterpart")
             out, at = out + PATTERNS[text[at + 1]], at + 2
         else:
-            out, at = out + (f"'{c}'" if c.isalpha() else "''" if c == "'" else c), at + 1
+            # letters that follow one another share their quotes
+            out, at = out[:-1] + c + "'" if c.isalpha() and quoted_run else out + (f"'{c}'" if c.isalpha() else "''" if c == "'" else c), at + 1
+            quoted_run = c.isalpha()
+            continue
+        quoted_run = False
     return out
 
 
