@@ -64,14 +64,16 @@ def without_spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 2
     own = F.col("id") == F.col("keeper")
     gone = F.filter("at", lambda p: ~(own & (p == F.col("first"))))
     out = each.select("id", "rk", gone.alias("at")).groupBy("id", "rk").agg(F.flatten(F.collect_list("at")).alias("at")).where("size(at) > 0")
-    return (
-        docs.drop("removed")
-        .withColumns({"id__": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "rk__": F.xxhash64("doc_id", "text")})
-        .join(out.select(F.col("id").alias("id__"), F.col("rk").alias("rk__"), F.col("at").alias("at__")), ["id__", "rk__"], "left")
-        .withColumn("text", _cut(F.col("text"), F.col("at__")))
-        .withColumn("removed", F.coalesce(F.size("at__"), F.lit(0)).cast("int"))
-        .drop("id__", "rk__", "at__")
+    # the row is packed, so that no column of its own meets those of the join
+    packed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+        F.xxhash64("doc_id", "text").alias("rk"),
     )
+    row = F.col("row")
+    columns = [(_cut(row["text"], F.col("at")) if c == "text" else row[c]).alias(c) for c in docs.columns if c != "removed"]
+    removed = F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("int").alias("removed")
+    return packed.join(out, ["id", "rk"], "left").select(*columns, removed)
 
 
 def _cut(text: Column, at: Column) -> Column:
