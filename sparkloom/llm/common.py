@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What separates words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most bytes of rows that a Python worker is given at once, unless the session has a bound of its own.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,6 +59,18 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of about BATCH_BYTES, or of one row that is longer.
+
+    Spark's own bound is 64 MB, held on the JVM's side and several times over in each worker. The bound is a setting
+    of the session, left as it is where the session sets it.
+    """
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound, None) is None:
+        conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def bitmap(df: DataFrame, key: Column, log2_bits: int) -> np.ndarray:
     """One bit for each value of key modulo 2**log2_bits, as 64-bit words.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, in_bitmap, mixed, small_side, stored, windows
+from .common import bitmap, in_bitmap, map_batches, mixed, small_side, stored, windows
 
 NEED_BITS = 26
 LITERAL, NUMBER, NAME, UNIT, EMPTY = range(5)
@@ -154,9 +154,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     def text_of(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
-    items = stored(text_of(benchmark, "item_id").mapInArrow(_window_rows(k, None), WINDOW_SCHEMA))
+    items = stored(map_batches(text_of(benchmark, "item_id"), _window_rows(k, None), WINDOW_SCHEMA))
     needed = bitmap(items, F.col("hash"), NEED_BITS)
-    hits = stored(text_of(docs, "doc_id").mapInArrow(_window_rows(k, needed), WINDOW_SCHEMA).drop("n"))
+    hits = stored(map_batches(text_of(docs, "doc_id"), _window_rows(k, needed), WINDOW_SCHEMA).drop("n"))
     sought = small_side(items.select("coding", "hash", F.col("id").alias("item_id"), F.col("rk").alias("item_rk"), F.col("pos").alias("item_pos"), F.col("n").alias("windows"), F.col("slots").alias("item_slots")), 1_000_000)
     met = hits.join(sought, ["coding", "hash"]).withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     # the same placeholder window may stand in several places; of one item's window the place with the most common shift counts

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import bitmap, distinct, in_bitmap, mixed, stored, windows, word_hashes
+from .common import bitmap, distinct, in_bitmap, map_batches, mixed, stored, windows, word_hashes
 from .components import components
 
 SKETCH_BITS = 16
@@ -213,7 +213,7 @@ def _over_tiles(one_tile, columns: list[str], schema: pa.Schema):
 
 def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, schema)
+    return map_batches(rows.repartition(parts, "tile").sortWithinPartitions("tile"), run, schema)
 
 
 def _tile_links(rule: Rule, tiles: DataFrame, signatures: DataFrame, sets_of) -> DataFrame:
@@ -265,13 +265,13 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Shingles and classes are told apart by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    described = stored(texts.mapInArrow(_describe(rule), "doc_id long, node long, n long, bits binary, kind int"), "kind")
+    described = stored(map_batches(texts, _describe(rule), "doc_id long, node long, n long, bits binary, kind int"), "kind")
     sets = described.where("kind = 0").select("doc_id", "node", "n")
     counts = described.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
     weights = np.zeros(1 << SKETCH_BITS, np.uint64)
     weights[counts["doc_id"].to_numpy()] = (8 * np.log2(1 + counts["n"].to_numpy())).astype(np.uint64)
 
-    keys = texts.select("text").mapInArrow(_prefixes(rule, weights), "key long, node long, n long")
+    keys = map_batches(texts.select("text"), _prefixes(rule, weights), "key long, node long, n long")
     in_key = W.partitionBy("key").orderBy("node")
     shared = stored(
         keys.withColumn("lo", F.first("node").over(in_key)).withColumn("lo_n", F.first("n").over(in_key)).where("node <> lo")
@@ -289,7 +289,7 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     def sets_of(nodes: DataFrame) -> DataFrame:
         """node and items, at least of these nodes, by one more pass over the text."""
         needed = bitmap(nodes.join(classes, "node"), F.col("doc_id"), NEED_BITS)
-        return stored(texts.where("doc_id is not null").mapInArrow(_sets(rule, needed), "node long, items binary"))
+        return stored(map_batches(texts.where("doc_id is not null"), _sets(rule, needed), "node long, items binary"))
 
     # rounds in slices, under the smallest key by either of two orders
     rounds = []

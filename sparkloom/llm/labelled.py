@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import map_batches
+
 
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, trainable: Column, sample_rows: int
@@ -50,9 +52,8 @@ def score_documents(documents: DataFrame, score: Callable[[list[bytes]], np.ndar
                 names=["doc_id", "score", "predicted"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, score double, predicted int"
-    )
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return map_batches(texts, run, "doc_id long, score double, predicted int")
 
 
 def keep_scored(documents: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:
@@ -64,4 +65,4 @@ def keep_scored(documents: DataFrame, score: Callable[[list[bytes]], np.ndarray]
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array(np.asarray(score(texts)) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)
