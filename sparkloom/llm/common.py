@@ -38,16 +38,13 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder and read again.
 
     This cuts the lineage without tying any block to one executor, and gives the planner true sizes.
     """
     path = f"{workspace(df.sparkSession)}/part"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
         step = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
         while True:
             ahead = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            moved = stored(step.join(ahead, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            step = moved.select("node", "root")
-            if moved.where("moved").isEmpty():
+            further = step.join(ahead, "root")
+            if further.where("next <> root").isEmpty():
                 break
+            step = stored(further.select("node", F.col("next").alias("root")))
         if roots is None:
             roots = step
         else:

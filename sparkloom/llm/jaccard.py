@@ -212,8 +212,7 @@ def _over_tiles(one_tile, columns: list[str], schema: pa.Schema):
 
 
 def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_batches(rows.repartition(parts, "tile").sortWithinPartitions("tile"), run, schema)
+    return map_batches(rows.repartition("tile").sortWithinPartitions("tile"), run, schema)
 
 
 def _tile_links(rule: Rule, tiles: DataFrame, signatures: DataFrame, sets_of) -> DataFrame:
@@ -265,7 +264,7 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Shingles and classes are told apart by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    described = stored(map_batches(texts, _describe(rule), "doc_id long, node long, n long, bits binary, kind int"), "kind")
+    described = stored(map_batches(texts, _describe(rule), "doc_id long, node long, n long, bits binary, kind int"))
     sets = described.where("kind = 0").select("doc_id", "node", "n")
     counts = described.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
     weights = np.zeros(1 << SKETCH_BITS, np.uint64)
@@ -273,13 +272,10 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     keys = map_batches(texts.select("text"), _prefixes(rule, weights), "key long, node long, n long")
     in_key = W.partitionBy("key").orderBy("node")
-    shared = stored(
-        keys.withColumn("lo", F.first("node").over(in_key)).withColumn("lo_n", F.first("n").over(in_key)).where("node <> lo")
-    )
+    shared = keys.withColumn("lo", F.first("node").over(in_key)).withColumn("lo_n", F.first("n").over(in_key)).where("node <> lo")
     classes = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     member = stored(
-        shared.select("key", "node", "n")
-        .unionAll(shared.select("key", F.col("lo").alias("node"), F.col("lo_n").alias("n")))
+        shared.select("key", F.inline(F.array(F.struct("node", "n"), F.struct(F.col("lo").alias("node"), F.col("lo_n").alias("n")))))
         .distinct()
         .withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / rule.percent))).cast("int"))
     )
@@ -333,7 +329,7 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     smallest = classes.join(known, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
     to_root = classes.join(known, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    answer = stored(to_root.join(smallest, "root").select("node", "component_id"))
+    answer = to_root.join(smallest, "root").select("node", "component_id")
     with_set = sets.where("node is not null").join(answer, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     without = sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_set.unionAll(without)
