@@ -27,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest doc_id."""
-    linked = stored(jaccard.linked_documents(docs, jaccard.Rule(words=5, percent=80)))
-    dropped = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    linked = jaccard.linked_documents(docs, jaccard.Rule(words=5, percent=80))
+    dropped = stored(linked.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(small_side(dropped, FEW), "doc_id", "left_anti").select(docs.columns)
 
 
@@ -44,7 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows that share a doc_id have one decision, that of the row the mix takes most.
     """
-    mixed = stored(mixing.mixture(docs))
+    mixed = mixing.mixture(docs)
     keys = stored(mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")))
     return docs.join(small_side(keys, FEW), "doc_id")
 
