@@ -57,7 +57,8 @@ STAGES = [
     ("mixing sources to target weights", mixing_stage),
 ]
 
-#: The classifier and the mix's hash order are beyond SQL; tests hold run() against a brute-force version.
+#: The classifier and the mix's hash order are beyond SQL. Tests hold the line and Jaccard stages against plain Python, and
+#: what run() returns against the operators; the classifier and the mix have tests of their own.
 ORACLE_SQL = None
 
 

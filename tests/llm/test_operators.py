@@ -224,3 +224,62 @@ def test_pipeline(spark):
     linked = jaccard.linked_documents(kept).where("doc_id <> component_id")
     assert linked.count() == 0
     assert decontaminate.contaminated(kept, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).count() == 0
+
+
+def test_pipeline_stages_against_plain_code(spark):
+    """Lines, near-duplicates and leaks, each on its own input; the texts are compared in plain Python."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+
+    def texts(df):
+        return {r.doc_id: r for r in df.select("doc_id", "text", "source").collect()}
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = texts(docs)
+    sites, first = {}, {}
+    for i in sorted(rows):
+        for pos, line in enumerate((rows[i].text or "").split("\n")):
+            bare = line.strip(" \t\x0b\x0c\r")
+            if len(bare) >= 20:
+                sites.setdefault(bare, set()).update({rows[i].source} - {None})
+                first.setdefault(bare, (i, pos))
+
+    def cut(i, text):
+        kept = []
+        for pos, line in enumerate(text.split("\n")):
+            bare = line.strip(" \t\x0b\x0c\r")
+            if len(sites.get(bare, ())) < 8 or first[bare] == (i, pos):
+                kept.append(line)
+        return "\n".join(kept)
+
+    lined = corpus_pipeline.stored(stages["line dedup"](spark, docs, FOLDER))
+    after = texts(lined)
+    assert {i: r.text for i, r in after.items()} == {i: None if r.text is None else cut(i, r.text) for i, r in rows.items()}
+
+    sets = {}
+    for i, r in after.items():
+        words = re.findall(common.WORD, (r.text or "").translate(str.maketrans(common.UPPER, common.LOWER)))
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if 80 * len(sets[j]) > 100 * len(sets[i]):
+                break
+            same = len(sets[i] & sets[j])
+            if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    unique = corpus_pipeline.stored(stages["n-gram Jaccard join"](spark, lined, FOLDER))
+    assert set(texts(unique)) == {i for i in root if root[i] == i}
+
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    leaks = {r.doc_id for r in decontaminate.contaminated(unique, benchmark).collect()}
+    assert leaks and set(texts(stages["benchmark decontamination"](spark, unique, FOLDER))) == set(texts(unique)) - leaks
