@@ -46,7 +46,7 @@ def exact_duplicates(docs: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
     hit = F.lit(True)
     for i in range(2):
         hit = hit & F.coalesce(F.expr(f"(shiftright(bits{i}, cast(cell{i} & 63 as int)) & 1) = 1"), F.lit(False))
-    probed = stored(probed.select("doc_id", "digest", hit.alias("maybe")), "maybe")
+    probed = stored(probed.select("doc_id", "digest", hit.alias("maybe")))
     maybe = probed.where("maybe").select("doc_id", "digest")
     groups = stored(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     sha = F.lower(F.hex("digest")).alias("text_sha256")

@@ -100,6 +100,12 @@ def test_odd_rows(spark):
         assert score(none, labels, F.lit(True)).count() == 0
 
 
+def test_exact_duplicates_are_grouped(spark):
+    rows = [(1, "Same text"), (2, "same TEXT"), (3, "other"), (4, None), (5, "")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (5, 2, False), 5: (5, 2, True)}
+
+
 def test_mixing_meets_targets(spark):
     rows = queries.op5_mixing(spark, FOLDER).collect()
     again = queries.op5_mixing(spark, FOLDER).collect()
