@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import bitmap, in_bitmap, map_batches, mixed, small_side, stored, windows
 
@@ -140,8 +140,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     of punctuation at their ends; numbers and units become placeholders, in a second coding capitalised words too,
     as names. A document holds an item if, in one coding, the windows of k words that both have number at least
     least_windows, or least_share of the item's windows if that is less, counting only windows whose slots agree:
-    throughout the match one value of an item's slot always answers one value of the document's. matched counts the
-    distinct item windows found and coverage is their share; reparameterised says that some slot's value differs.
+    where an item lies against a text, each value of the item's slots is answered by the value that most of its
+    windows there have; windows that have another are not counted, unless all their slots are as in the item. matched
+    counts the distinct item windows found and coverage is their share; reparameterised says that in some counted
+    window a slot's value differs.
     text_hash is xxhash64 of the text, which tells rows with one doc_id apart; rows that repeat both count as one.
     Null and blank texts and items have no windows and match nothing; an item under k words is one window. Items
     without a window of enough literal words are not sought. Empty tables give no rows. A null doc_id or item_id
@@ -159,19 +161,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     hits = stored(map_batches(text_of(docs, "doc_id"), _window_rows(k, needed), WINDOW_SCHEMA).drop("n"))
     sought = small_side(items.select("coding", "hash", F.col("id").alias("item_id"), F.col("rk").alias("item_rk"), F.col("pos").alias("item_pos"), F.col("n").alias("windows"), F.col("slots").alias("item_slots")), 1_000_000)
     met = hits.join(sought, ["coding", "hash"]).withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
-    # the same placeholder window may stand in several places; of one item's window the place with the most common shift counts
-    shift = ["id", "rk", "coding", "item_id", "item_rk"]
-    per_shift = (
-        met.groupBy(*shift, (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("windows").alias("windows"))
-        .withColumn("values", F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-        # one value of an item's slot, one value of the document's
-        .where(F.size("values") == F.size("pairs"))
-    )
-    joined = per_shift.groupBy(*shift).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"),
-        F.max("windows").alias("windows"),
-        F.max(F.exists("pairs", lambda p: ~p["i"].eqNullSafe(p["d"]))).alias("reparameterised"),
+    group = ["id", "rk", "coding", "item_id", "item_rk"]
+    shift = [*group, "shift"]
+    # the same placeholder window may stand in several places; each shift of an item against the text has its own answers
+    per_shift = met.withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(*shift)
+    windows_met = per_shift.agg(F.collect_set(F.struct("item_pos", "pairs")).alias("met"), F.max("windows").alias("windows")).select(*shift, "windows", F.inline("met"))
+    slots = windows_met.select(*shift, "windows", "item_pos", F.explode_outer("pairs").alias("p")).select(*shift, "windows", "item_pos", "p.i", "p.d")
+    votes = slots.withColumn("votes", F.count("*").over(W.partitionBy(*shift, "i", "d"))).withColumn("same", F.col("i").eqNullSafe(F.col("d")))
+    # an item's slot value is answered by the document's value that most windows have; of equals by itself, then the largest
+    answer = F.max(F.struct("votes", "same", "d")).over(W.partitionBy(*shift, "i"))["d"]
+    answered = votes.withColumn("agrees", F.col("d").eqNullSafe(answer))
+    kept = answered.groupBy(*shift, "item_pos").agg(F.max("windows").alias("windows"), F.bool_and("agrees").alias("agrees"), F.bool_and("same").alias("same")).where("agrees or same")
+    joined = kept.groupBy(*group).agg(
+        F.size(F.collect_set("item_pos")).alias("matched"), F.max("windows").alias("windows"), F.max(~F.col("same")).alias("reparameterised")
     )
     enough = joined.where((F.col("matched") >= least_windows) | (F.col("matched") >= F.ceil(F.lit(least_share) * F.col("windows"))))
     best = enough.groupBy("id", "rk", "item_id").agg(F.max(F.struct("matched", "windows", F.expr("not reparameterised").alias("same"))).alias("m"))

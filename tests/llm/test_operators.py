@@ -188,6 +188,16 @@ def test_templates(spark):
     assert got[1] is False and got[2] is True and 4 not in got
 
 
+def test_windows_that_disagree_are_left_out(spark):
+    """One occurrence changed of a repeated number, or of a number and a name, costs its own windows only."""
+    item = "Anna buys 3 apples and 7 pears at 2 dollars each, then Anna sells 3 apples to Ben for 9 dollars in total today"
+    wrong = item.replace("Anna buys 3", "Anna buys 5")
+    short = "Anna buys 3 apples and 7 pears at 2 dollars"
+    docs = spark.createDataFrame([(3, wrong + " " + wrong.replace("5", "6")), (4, item.replace("Anna buys 3", "Carla buys 5")), (5, item.replace("Anna buys 3", "Carla buys 5").replace("Ben", "Dora").replace("9", "8")), (6, short)], "doc_id long, text string")
+    got = {r.doc_id: r.reparameterised for r in decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {3: False, 4: False, 5: True}
+
+
 def test_leaks_at_scale_of_the_sample(spark):
     folder = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.item_id) for r in queries.op9_decontaminate(spark, folder).collect()}
