@@ -29,22 +29,27 @@ UNIT_WORDS = (
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(st|nd|rd|th|%)?", re.ASCII)
 _EDGES = "!\"#%&'()*,./:;<=>?@[\\]^_`{|}~-"
 _CODES = mixed(np.arange(1, 4, dtype=np.uint64))
+#: The coding of words as written, beside 0 and 1, and what keeps its hashes apart from theirs.
+WRITTEN = 2
+_SALT = 0x9E3779B97F4A7C14
 
 
 class Tokens(dict):
-    """Raw words to rows of three arrays: kind, code as written (lower case), code with names masked too."""
+    """Raw words to rows of four arrays: kind, code with numbers masked, code with names masked too, code as written (lower case)."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.kind, self.plain, self.masked = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.kind = np.zeros(1024, np.int8)
+        self.plain, self.masked, self.written = (np.zeros(1024, np.uint64) for _ in range(3))
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.kind):
-            self.kind, self.plain, self.masked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.plain, self.masked))
+            self.kind, self.plain, self.masked, self.written = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.plain, self.masked, self.written))
         core = word.strip(_EDGES)
         low = core.lower()
         code = np.uint64(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")))
+        self.written[at] = code
         if not core:
             kind = EMPTY
         elif low in _NUMBERS or _NUMBER.fullmatch(core):
@@ -60,11 +65,10 @@ class Tokens(dict):
         self[word] = at
         return at
 
-    def template(self, text: str, k: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-        """The words without bare punctuation, and for both codings window hashes and which words are slots.
+    def template(self, text: str) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """The words without bare punctuation, and for each coding the words' codes and which are slots.
 
-        A unit word is a slot after a number only. A window of fewer than 3 literal words, or of k - 2 if that is
-        less, gets the hash 0: it says too little.
+        A unit word is a slot after a number only. The last coding, as written, has no slots.
         """
         if len(self) > 500_000:
             self.clear()
@@ -78,27 +82,36 @@ class Tokens(dict):
         unit = np.zeros(len(rows), bool)
         if len(rows):
             unit[1:] = (kind[1:] == UNIT) & (kind[:-1] == NUMBER)
-        out = []
-        for codes, slot in ((self.plain[rows], (kind == NUMBER) | unit), (self.masked[rows], (kind == NUMBER) | unit | (kind == NAME))):
-            codes = np.where(unit, _CODES[2], codes)
-            found = windows(codes, k) | np.uint64(1)
-            size = len(rows) - len(found) + 1
-            if len(found):
-                literal = np.convolve((~slot).astype(np.int64), np.ones(size, np.int64), "valid")
-                found[literal < min(3, k - 2)] = 0
-            out.append((found, slot))
-        return words, out
+        number = kind == NUMBER
+        out = [(np.where(unit, _CODES[2], codes), slot) for codes, slot in ((self.plain[rows], number | unit), (self.masked[rows], number | unit | (kind == NAME)))]
+        return words, [*out, (self.written[rows], np.zeros(len(rows), bool))]
+
+
+def _hashes(codes: np.ndarray, slot: np.ndarray, size: int, coding: int, k: int) -> np.ndarray:
+    """Hash of each window of size words; 0 where fewer than 3 words, or k - 2 if that is less, are literal: it says too little.
+
+    Words as written say enough whatever they are.
+    """
+    found = windows(codes, size) | np.uint64(1)
+    if coding == WRITTEN:
+        return found ^ np.uint64(_SALT)
+    literal = np.convolve((~slot).astype(np.int64), np.ones(size, np.int64), "valid")
+    found[literal < min(3, k - 2)] = 0
+    return found
 
 
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
 
 
-def _window_rows(k: int, needed: np.ndarray | None):
-    """id, rk, coding, hash, pos, n and slots of the windows of each text; with needed only of those that may be sought.
+def _window_rows(k: int, needed: np.ndarray | None, sought: list[tuple[int, int]] = ()):
+    """id, rk, coding, hash, pos, n, size and slots of the windows of each text; with needed only of those that may be sought.
 
+    Without needed, of items: the windows of k words, or of a shorter item's whole; as written only of an item that
+    the first coding does not say all of, having a window of too few literals or a unit word in front. With needed, of
+    documents: the windows of the codings and sizes in sought; of those under k words, equal ones once a text.
     slots holds the slots of a window as offset and lower-case word, in order.
     """
-    names = ["id", "rk", "coding", "hash", "pos", "n", "slots"]
+    names = ["id", "rk", "coding", "hash", "pos", "n", "size", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -108,29 +121,43 @@ def _window_rows(k: int, needed: np.ndarray | None):
             for i, raw in zip(ids, batch.column(1).to_pylist(), strict=True):
                 if not raw:
                     continue
-                words, codings = tokens.template(raw.decode("utf-8", "replace"), k)
+                words, codings = tokens.template(raw.decode("utf-8", "replace"))
+                if not words:
+                    continue
                 rk = None
-                for coding, (found, slot) in enumerate(codings):
+                if needed is None:
+                    whole = (_hashes(*codings[0], min(len(words), k), 0, k) != 0).all() and words[0].strip(_EDGES).lower() not in _UNITS
+                    wanted_of = [(coding, min(len(words), k)) for coding in range(2 if whole else 3)]
+                else:
+                    wanted_of = [x for x in sought if x[1] <= len(words)]
+                for coding, size in wanted_of:
+                    codes, slot = codings[coding]
+                    found = _hashes(codes, slot, size, coding, k)
                     wanted = found != 0
                     if needed is not None:
                         wanted &= in_bitmap(needed, found)
                     spots = np.flatnonzero(wanted)
                     if len(spots) and rk is None:
                         rk = np.uint64(xxhash.xxh64_intdigest(raw, seed=42)).astype(np.int64).item()
-                    size = len(words) - len(found) + 1
+                    seen = set()
                     for at in spots.tolist():
                         inner = np.flatnonzero(slot[at : at + size]).tolist()
                         slots = [words[at + x].strip(_EDGES).lower() for x in inner]
-                        rows.append((i, rk, coding, found[at].astype(np.int64).item(), at, int((found != 0).sum()), slots))
+                        if needed is not None and size < k:
+                            once = (found[at].item(), *slots)
+                            if once in seen:
+                                continue
+                            seen.add(once)
+                        rows.append((i, rk, coding, found[at].astype(np.int64).item(), at, int((found != 0).sum()), size, slots))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
-WINDOW_SCHEMA = "id long, rk long, coding int, hash long, pos int, n int, slots array<string>"
+WINDOW_SCHEMA = "id long, rk long, coding int, hash long, pos int, n int, size int, slots array<string>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_windows: int = 9, least_share: float = 0.5) -> DataFrame:
@@ -145,9 +172,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     counts the distinct item windows found and coverage is their share; reparameterised says that in some counted
     window a slot's value differs.
     text_hash is xxhash64 of the text, which tells rows with one doc_id apart; rows that repeat both count as one.
-    Null and blank texts and items have no windows and match nothing; an item under k words is one window. Items
-    without a window of enough literal words are not sought. Empty tables give no rows. A null doc_id or item_id
-    is carried as null.
+    Null and blank texts and items have no windows and match nothing; an item under k words is one window, sought in
+    texts of any length. Windows of fewer than 3 literal words count in neither coding; an item with such windows is
+    sought in a third coding too, all its words as written, so that a copy of its words is always found, be it all
+    numbers or one word. Empty tables give no rows. A null doc_id or item_id is carried as null.
 
     A bitmap of the items' window hashes, of fixed size, goes to the documents' scan, which emits only windows that
     may be sought, usually few; false hits cost time only. These are hash-joined with the items' windows, which are
@@ -158,7 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
 
     items = stored(map_batches(text_of(benchmark, "item_id"), _window_rows(k, None), WINDOW_SCHEMA))
     needed = bitmap(items, F.col("hash"), NEED_BITS)
-    hits = stored(map_batches(text_of(docs, "doc_id"), _window_rows(k, needed), WINDOW_SCHEMA).drop("n"))
+    sizes = sorted((r.coding, r["size"]) for r in items.select("coding", "size").distinct().collect())
+    hits = stored(map_batches(text_of(docs, "doc_id"), _window_rows(k, needed, sizes), WINDOW_SCHEMA).drop("n", "size"))
     sought = small_side(items.select("coding", "hash", F.col("id").alias("item_id"), F.col("rk").alias("item_rk"), F.col("pos").alias("item_pos"), F.col("n").alias("windows"), F.col("slots").alias("item_slots")), 1_000_000)
     met = hits.join(sought, ["coding", "hash"]).withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     group = ["id", "rk", "coding", "item_id", "item_rk"]

@@ -198,6 +198,15 @@ def test_windows_that_disagree_are_left_out(spark):
     assert got == {3: False, 4: False, 5: True}
 
 
+def test_items_of_few_literals_are_found_as_written(spark):
+    items = {1: "1, 1, 2, 3, 5, 8, 13, 21", 2: "12 + 30 = 42", 3: "Antarctica", 4: "two hundred", 5: "one two three buckle my shoe", 6: "Anna owes Ben", 7: "days of 7 years"}
+    rows = [(i, f"Some lead in 7 {text}, and more words follow it.") for i, text in items.items()]
+    rows += [(11, "lead in 1 2 3 4 5 6 7 8 9 10 and more"), (12, "12 + 31 = 43 and more"), (13, "three hundred words"), (14, "Antarctica"), (15, "Carla owes Dora money")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in items} | {(14, 3)}
+
+
 def test_leaks_at_scale_of_the_sample(spark):
     folder = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.item_id) for r in queries.op9_decontaminate(spark, folder).collect()}
