@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LOWER, UPPER
 from .exact import ascii_lower
 
-# Published licence texts and notices, as their stewards print them.
+# Published licence texts and notices, and one-line statements of a licence (see TEXTS).
 MIT = """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -51,6 +53,16 @@ APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>
+"""
 #: Identifier and text; several texts may share an identifier.
 TEXTS = (
     ("MIT", MIT),
@@ -60,6 +72,7 @@ TEXTS = (
     ("0BSD", ZERO_BSD),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("Unlicense", UNLICENSE),
     ("Apache-2.0", APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -102,28 +115,37 @@ def canonical_text(text: str) -> str:
     return text.strip(" ")
 
 
-def known_digests(texts=TEXTS) -> dict[str, str]:
+def _listed() -> tuple[tuple[str, str, int], ...]:
+    """Identifier, digest and length of the canonical forms in license_digests.tsv, too long to hold here."""
+    with Path(__file__).with_name("license_digests.tsv").open(encoding="utf-8") as file:
+        return tuple((r["license_id"], r["canonical_sha256"], int(r["canonical_chars"])) for r in csv.DictReader(file, delimiter="\t"))
+
+
+#: The longer licences: digests of full texts and notices, where each was taken from being in the file.
+DIGESTS = _listed()
+
+
+def known_digests(texts=TEXTS, digests=DIGESTS) -> dict[str, str]:
     """SHA-256 of each known text's canonical form, to its identifier."""
-    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in texts}
+    return {d: name for name, d, _ in digests} | {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in texts}
 
 
-def scan_licenses(docs: DataFrame, texts=TEXTS) -> DataFrame:
+def scan_licenses(docs: DataFrame, texts=TEXTS, digests=DIGESTS) -> DataFrame:
     """doc_id, canonical_sha256, license_id and notices for every row of docs (doc_id, text; others are ignored).
 
     license_id names the known licence whose canonical text is the whole of the document's, or is null; notices
     lists, sorted and without repeats, the licences whose canonical text is one line of the document. Null and
     blank texts have the digest of the empty text and match nothing. Repeated rows stay. The known digests come
-    from texts, a table in code, so their broadcast is bounded by it; documents are read once and not shuffled.
+    from texts and digests, tables in code, so their broadcast is bounded by them; documents are read once and not shuffled.
     """
-    known = known_digests(texts)
+    known = known_digests(texts, digests)
     known.pop(hashlib.sha256(b"").hexdigest(), None)
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(list(known.items()) or [("", "")], "canonical_sha256 string, license_id string"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = [canonical_text(t) for _, t in texts if "\n" not in t.strip()]
     by_line = [x for name in known.items() for x in (F.lit(name[0]), F.lit(name[1]))]
     lookup = F.create_map(*by_line) if by_line else F.create_map(F.lit(""), F.lit(""))
-    lengths = [len(x) for x in lines] or [0]
+    lengths = [*(len(canonical_text(t)) for _, t in texts), *(n for *_, n in digests)] or [0]
     # a canonical form is at most a fifteenth longer than its line, so much shorter lines match none
     hits = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= min(lengths) // 2), lambda x: canonical(x))
     # only the digest of a line of a known length can be known
