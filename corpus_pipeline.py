@@ -42,11 +42,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies and the virtual finish time of the first.
 
-    Rows that share a doc_id have one decision, that of the row the mix takes most.
+    Rows that share a doc_id have one decision, that of the row the mix takes most. Rows without one are mixed under a
+    hash of source and text, so that only equal rows share a decision, and stay without.
     """
-    mixed = mixing.mixture(docs)
-    keys = stored(mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")))
-    return docs.join(small_side(keys, FEW), "doc_id")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text"))
+    mixed = mixing.mixture(docs.withColumn("doc_id", own))
+    keys = stored(mixed.where("copies > 0").groupBy(F.col("doc_id").alias("own_id")).agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")))
+    return docs.withColumn("own_id", own).join(small_side(keys, FEW), "own_id").drop("own_id")
 
 
 STAGES = [

@@ -140,6 +140,20 @@ def test_mixing_against_one_queue(spark):
     assert sum(got[i] != want[i] for i in got) <= 2  # ties in finish time aside
 
 
+def test_mixing_stage_keeps_rows_without_id(spark):
+    """With and without ids the same words are taken, and each row without an id has its own decision."""
+    import corpus_pipeline
+
+    rows = [(i if i % 2 else None, "word " * (3 + i) + f"end{i}", "en", "abc"[i % 3], 1) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (None, "", "en", "a", 0)], DOCS)
+    got = corpus_pipeline.mixing_stage(spark, docs, FOLDER).collect()
+    assert got[0].__fields__[0] == "doc_id" and "own_id" not in got[0].__fields__
+    taken = sum(r.copies * len(r.text.split()) for r in got)
+    total = sum(len(r[1].split()) for r in rows)
+    assert any(r.doc_id is None for r in got) and len({r.text for r in got}) == len(got)
+    assert total - 33 <= taken <= total
+
+
 def test_target_caps(spark):
     sources = spark.createDataFrame([("=a", 100), ("=b", 1), ("=c", 2)], "key string, source_size long")
     got = {r.key: r.target for r in mixing.source_targets(sources).collect()}
