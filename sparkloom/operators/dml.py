@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans import nodes as N
 from ..plans.emit import Emitter, quoted
 from ..plans.lexer import SqlError
-from ..sources.storage import materialised
+from ..sources.storage import stored
 
 ROW = "row__"
 
@@ -58,7 +58,7 @@ def _output(changes: DataFrame, items: tuple, default: str, dialect: str) -> Dat
 
 def _numbered(engine, s: N.Node) -> DataFrame:
     """The target's rows with a number that stays as it is, for statements that join."""
-    return materialised(engine.table(target(s)).withColumn(ROW, F.monotonically_increasing_id()))
+    return stored(engine.table(target(s)).withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _select(engine, s: N.Node, rows: DataFrame, items: list[str], dialect: str, tail: tuple) -> DataFrame:
@@ -241,7 +241,7 @@ def _merge(engine, s: N.Merge, dialect: str) -> Mutation:
         items.append(f"CAST({cases} AS {table.schema[c].dataType.simpleString()}) AS {quoted('n_' + c)}")
     source = emit.table(replace(s.source, alias="src__"))
     text = f"SELECT {', '.join(items)} FROM {quoted(view)} AS {label} FULL JOIN (SELECT *, true AS s__ FROM {source}) AS {source_label} ON {emit.expr(s.on)}"
-    images = materialised(engine.spark_sql(text))
+    images = stored(engine.spark_sql(text))
     acts = {i: w.action for i, w in enumerate(s.whens)}
     changing = images.where(F.col(ROW).isNotNull() & F.col("when__").isNotNull())
     if not changing.groupBy(ROW).count().where("count > 1").isEmpty():
