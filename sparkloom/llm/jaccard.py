@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import bitmap, distinct, in_bitmap, map_batches, mixed, stored, windows, word_hashes
 from .components import components
 
-SKETCH_BITS = 16
+#: Buckets of the sketch of shingle frequencies, and how many of them make a row of it.
+SKETCH_BITS = 18
+CHUNK = 1 << 14
 NEED_BITS = 26
-TILE_ROWS = 128
+#: A tile holds at most so many rows a side, and about so many shingles.
+TILE_ROWS = 1024
+TILE_SHINGLES = 1 << 21
 MOST_SIGNATURE_BITS = 1 << 16
+#: Which sides of a tile meet.
+MEET = np.zeros((4, 4), bool)
+MEET[[0, 1, 2, 2, 3], [1, 0, 2, 3, 2]] = True
 
 
 @dataclass(frozen=True)
@@ -39,6 +45,16 @@ class Rule:
         """The overlap that sets of this total size need: 100 i >= p (total - i)."""
         return -(-self.percent * total // (100 + self.percent))
 
+    def bands(self) -> np.ndarray:
+        """The smallest set size of each size band: sets that link lie in one band or in two neighbouring ones.
+
+        The band after one that starts at t starts at the first size too large to link with t.
+        """
+        starts = [1]
+        while starts[-1] < 1 << 40:
+            starts.append(100 * starts[-1] // self.percent + 1)
+        return np.array(starts)
+
 
 def signature(shingles: np.ndarray) -> bytes:
     """A bitmap with the parity of the number of shingles hashed to each bit; as many bits as shingles, to a power of 2.
@@ -67,77 +83,100 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _describe(rule: Rule):
-    """Of each document: identifier, class, set size and signature; at the end counts of the words seen, by bucket."""
+    """Of each document: row key, class, set size and signature; at the end counts of the shingles seen, by bucket.
+
+    A task's counts go up to 65535, so that what is sent is of fixed size; kind 1 marks their rows, n being the chunk.
+    """
+    names = ["doc_id", "text_hash", "node", "n", "bits", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("kind", pa.int32())])
         for batch in batches:
             nodes, sizes, bits, spots = [], [], [], [np.zeros(0, np.int64)]
-            for text in batch.column(1).to_pylist():
-                words = word_hashes(text)
-                spots.append(_signed(words & np.uint64(len(seen) - 1)))
-                found = rule.shingles(words)
+            for text in batch.column(2).to_pylist():
+                found = rule.shingles(word_hashes(text))
+                spots.append(_signed(found & np.uint64(len(seen) - 1)))
                 nodes.append(_node(found) if len(found) else None)
                 sizes.append(len(found))
                 bits.append(signature(found) if len(found) else None)
             seen += np.bincount(np.concatenate(spots), minlength=len(seen))
-            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(len(sizes), np.int32))], schema=schema)
-        used = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(used), pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.nulls(len(used), pa.binary()), pa.array(np.ones(len(used), np.int32))], schema=schema)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(len(sizes), np.int32))], names=names)
+        if seen.any():
+            parts = np.minimum(seen, 65535).astype(np.uint16).reshape(-1, CHUNK)
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.record_batch([none, none, none, pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.ones(len(parts), np.int32))], names=names)
 
     return run
 
 
+def _frequencies(chunks: DataFrame) -> np.ndarray:
+    """64 times the logarithm of each bucket's count, from chunk rows (n, bits) of all tasks, summed chunk by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total.setdefault(n, np.zeros(CHUNK, np.int64))
+                total[n] += np.frombuffer(bits, np.uint16)
+        if total:
+            logs = [np.minimum(64 * np.log2(1 + x), 4095).astype(np.uint16).tobytes() for x in total.values()]
+            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(logs, pa.binary())], names=["n", "bits"])
+
+    weights = np.zeros(1 << SKETCH_BITS, np.uint64)
+    rows = map_batches(chunks.select("n", "bits").repartition("n"), run, "n long, bits binary").toArrow()
+    for n, bits in zip(rows["n"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        weights[n * CHUNK : (n + 1) * CHUNK] = np.frombuffer(bits, np.uint16)
+    return weights
+
+
 def _prefixes(rule: Rule, weights: np.ndarray):
-    """key, node and set size for the first shingles of each set, those of rare words first.
+    """key, node and sized (set size, and above 40 bits of it the size band) for the first shingles of each set, the rare ones first.
 
-    weights holds a logarithm of each word bucket's count. A shingle's key is the sum of its words' weights above
-    52 bits of its hash, and the order is that of the keys: the same for all documents, which is all that the
-    join's correctness needs. A class met again in a task is left out.
+    weights holds the logarithm of each shingle bucket's count. A shingle's key is its weight above 52 bits of its
+    hash, and the order is that of the keys: the same for all documents, which is all that the join's correctness
+    needs. A class met again in a task is left out.
     """
 
+    bands = rule.bands()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for text in batch.column(0).to_pylist():
-                words = word_hashes(text)
-                if not len(words):
+                found = rule.shingles(word_hashes(text))
+                if not len(found):
                     continue
-                hashes = windows(words, rule.words)
-                found = distinct(hashes)
                 node = _node(found)
                 if node in done:
                     continue
                 done.add(node)
-                one = weights[words & np.uint64(len(weights) - 1)]
-                size = len(words) - len(hashes) + 1
-                heavy = one[: len(hashes)].copy()
-                for i in range(1, size):
-                    heavy += one[i : i + len(hashes)]
-                take = distinct(np.minimum(heavy, np.uint64(2047)) << np.uint64(52) | hashes >> np.uint64(12))[: rule.prefix(len(found))]
+                order = np.sort(weights[found & np.uint64(len(weights) - 1)] << np.uint64(52) | found >> np.uint64(12))
+                take = order[: rule.prefix(len(found))]
                 keys.append(_signed(take))
                 nodes.append(np.full(len(take), node, np.int64))
                 sizes.append(np.full(len(take), len(found), np.int64))
             if keys:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+                n = np.concatenate(sizes)
+                sized = n | np.searchsorted(bands, n, "right") << 40
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes)), pa.array(sized)], names=["key", "node", "sized"])
 
     return run
 
 
 def _sets(rule: Rule, needed: np.ndarray):
-    """node and sorted shingles of the documents whose identifier may be needed."""
+    """node and sorted shingles of the rows whose identifier may be needed; a class met again in a task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = np.flatnonzero(in_bitmap(needed, ids.view(np.uint64)))
+            wanted = np.flatnonzero(in_bitmap(needed, batch.column(0).to_numpy().view(np.uint64)))
             rows = []
             for text in batch.column(1).take(pa.array(wanted)).to_pylist():
                 found = rule.shingles(word_hashes(text))
-                if len(found):
-                    rows.append((_node(found), found.tobytes()))
+                if len(found) and (node := _node(found)) not in done:
+                    done.add(node)
+                    rows.append((node, found.tobytes()))
             if rows:
                 node, items = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(node, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
@@ -145,10 +184,10 @@ def _sets(rule: Rule, needed: np.ndarray):
     return run
 
 
-def _joined_in_tile(rule: Rule, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], items: list[bytes] | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _joined_in_tile(rule: Rule, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], items: list[np.ndarray] | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Labels of the rows after joining what is linked, and the links used.
 
-    Rows of side 2 meet each other, others only rows of the other side. A pair whose rows are joined already is
+    Rows of side 0 meet those of side 1, rows of side 2 each other and those of side 3. A pair whose rows are joined already is
     passed over, so that a clique costs one link a row. Signatures bound the overlap from above; with items, the
     pairs left are settled by intersecting the sorted arrays, without they count as links.
     """
@@ -161,7 +200,7 @@ def _joined_in_tile(rule: Rule, n: np.ndarray, comp: np.ndarray, side: np.ndarra
     ends = np.searchsorted(n, n * 100 // rule.percent, "right")
     for i in range(len(n) - 1):
         rest = np.arange(i + 1, ends[i])
-        rest = rest[(label[rest] != label[i]) & ((side[rest] != side[i]) if side[i] < 2 else (side[rest] == 2))]
+        rest = rest[(label[rest] != label[i]) & MEET[side[i]][side[rest]]]
         if not len(rest):
             continue
         total = n[rest] + n[i]
@@ -170,8 +209,7 @@ def _joined_in_tile(rule: Rule, n: np.ndarray, comp: np.ndarray, side: np.ndarra
             if label[j] == label[i]:
                 continue
             if items is not None:
-                one, other = (np.frombuffer(items[order[x]], np.uint64) for x in (i, j))
-                common = len(np.intersect1d(one, other, assume_unique=True))
+                common = len(np.intersect1d(items[order[i]], items[order[j]], assume_unique=True))
                 if 100 * common < rule.percent * (n[i] + n[j] - common):
                     continue
             found.append((int(order[i]), int(order[j])))
@@ -215,88 +253,93 @@ def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
     return map_batches(rows.repartition("tile").sortWithinPartitions("tile"), run, schema)
 
 
-def _tile_links(rule: Rule, tiles: DataFrame, signatures: DataFrame, sets_of) -> DataFrame:
+def _tile_links(rule: Rule, tiles: DataFrame, classes: DataFrame, sets_of) -> DataFrame:
     """Links a and b that join what is linked within tiles (tile, node, comp, side).
 
-    First by signatures alone, small beside the sets: what they may join within a tile forms a group. Then the sets
-    of the groups' rows are read from the text, and each group is settled exactly, as a tile of its own.
+    First by signatures alone, small beside the sets: what they may join within a tile forms a group. A group that
+    several tiles propose is one group. Then the sets of the groups' rows are read from the text, and each group is
+    settled exactly, as a tile of its own in which all rows meet.
     """
 
     def propose(tile, node, comp, side, n, bits):
         labels, found = _joined_in_tile(rule, n, comp, side, bits, None)
-        if not found:
-            return []
-        met = np.isin(labels, labels[[i for pair in found for i in pair]])
-        group = mixed(labels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tile & (1 << 64) - 1)).view(np.int64)
-        return [(int(group[i]), int(node[i]), int(comp[i]), int(side[i]), int(n[i]), bits[i]) for i in np.flatnonzero(met)]
-
-    def settle(tile, node, comp, side, n, bits, items):
-        return [(int(node[i]), int(node[j])) for i, j in _joined_in_tile(rule, n, comp, side, bits, items)[1]]
-
-    whole = [("tile", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("side", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())]
-    columns = [c for c, _ in whole[1:]]
-    rows = tiles.join(signatures, "node").select("tile", *columns)
-    groups = stored(_by_tile(rows, _over_tiles(propose, columns, pa.schema(whole)), "tile long, node long, comp long, side long, n long, bits binary"))
-    rows = groups.join(sets_of(groups.select("node").distinct()), "node").select("tile", *columns, "items")
+        out = []
+        for label in {labels[i] for i, _ in found}:
+            met = np.flatnonzero(labels == label)
+            group = xxhash.xxh3_64_intdigest(np.sort(node[met]).tobytes())
+            out += [(np.uint64(group).astype(np.int64).item(), int(node[i]), int(comp[i]), int(n[i])) for i in met]
+        return out
+
+    def settle(tile, node, comp, n, items):
+        sets = [np.frombuffer(x, np.uint64) for x in items]
+        found = _joined_in_tile(rule, n, comp, np.full(len(n), 2), [signature(x) for x in sets], sets)[1]
+        return [(int(node[i]), int(node[j])) for i, j in found]
+
+    rows = tiles.join(classes.select("node", "n", "bits"), "node").select("tile", "node", "comp", "side", "n", "bits")
+    proposed = pa.schema([(c, pa.int64()) for c in ("tile", "node", "comp", "n")])
+    groups = stored(_by_tile(rows, _over_tiles(propose, ["node", "comp", "side", "n", "bits"], proposed), "tile long, node long, comp long, n long").distinct())
+    rows = groups.join(sets_of(groups.select("node").distinct()), "node").select("tile", "node", "comp", "n", "items")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return stored(_by_tile(rows, _over_tiles(settle, [*columns, "items"], links), "a long, b long"))
+    return stored(_by_tile(rows, _over_tiles(settle, ["node", "comp", "n", "items"], links), "a long, b long"))
 
 
-def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (doc_id, text; other columns are ignored).
+def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root and component_id for every row of docs (doc_id, text; other columns are ignored).
 
     A document's set holds the distinct shingles of its lower-cased (A-Z) words; a text with fewer words than a
     shingle has one, its whole sequence; a null or blank text has none and links with nothing. Two documents link
     when 100 * intersection >= percent * union. component_id is the smallest doc_id that links reach, the
-    document's own included. Documents of equal sets form one class, linked at once. Rows that repeat a doc_id stay
-    separate rows; a row without doc_id counts for no component's smallest, and keeps null if it is alone.
+    document's own included; root tells components apart, those without any doc_id too, and is null where the set
+    is empty. Documents of equal sets form one class, linked at once. Rows that repeat a doc_id stay separate rows;
+    rows without doc_id link as others do, but count for no component's smallest. text_hash is xxhash64 of the text.
     An empty table gives no rows.
 
     How no link is lost: two linked sets share a shingle among the first prefix(n) of an order common to all, so
-    they meet under that key, in tiles of one size band or two neighbouring ones. Tiles hold at most TILE_ROWS
+    they meet under that key, in tiles of one size band or two neighbouring ones. The order is by a sketch of the
+    shingles' frequencies, so what many documents share comes last and rarely is a key. Tiles hold at most TILE_ROWS
     rows a side; a key with more rows is cut into slices. Two cheap rounds first join what meets in one slice
     under a class's smallest key; keys whose rows are then all joined need no more work. For the others every
-    pair of slices is compared. Within a tile, pairs joined already are passed over, so a group of copies costs
-    links in proportion to its size, and signatures alone decide whose sets are fetched. The text is read three
-    times, or four; shuffled are keys, identifiers, signatures, and the sets of what signatures could not tell apart. What reaches the driver are two tables of fixed size: word counts by bucket
-    and a bitmap of needed identifiers, in which false hits cost time only.
+    pair of slices is compared, signatures first. Within a tile, pairs joined already are passed over, so a group of
+    copies costs links in proportion to its size, and signatures alone decide whose sets are fetched. The text is
+    read three times, or four; shuffled are keys, identifiers, signatures, and the sets of what signatures could not
+    tell apart. Keys that two classes share are found by partial aggregation and a join of stored tables, which
+    adaptive execution can split. What reaches the driver are two tables of fixed size: shingle counts by bucket and a
+    bitmap of needed texts, in which false hits cost time only.
 
     Shingles and classes are told apart by 64-bit hashes.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    described = stored(map_batches(texts, _describe(rule), "doc_id long, node long, n long, bits binary, kind int"))
-    sets = described.where("kind = 0").select("doc_id", "node", "n")
-    counts = described.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
-    weights = np.zeros(1 << SKETCH_BITS, np.uint64)
-    weights[counts["doc_id"].to_numpy()] = (8 * np.log2(1 + counts["n"].to_numpy())).astype(np.uint64)
-
-    keys = map_batches(texts.select("text"), _prefixes(rule, weights), "key long, node long, n long")
-    in_key = W.partitionBy("key").orderBy("node")
-    shared = keys.withColumn("lo", F.first("node").over(in_key)).withColumn("lo_n", F.first("n").over(in_key)).where("node <> lo")
-    classes = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    member = stored(
-        shared.select("key", F.inline(F.array(F.struct("node", "n"), F.struct(F.col("lo").alias("node"), F.col("lo_n").alias("n")))))
-        .distinct()
-        .withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / rule.percent))).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    own_id = F.coalesce("doc_id", "text_hash").alias("id")
+    described = stored(map_batches(texts, _describe(rule), "doc_id long, text_hash long, node long, n long, bits binary, kind int"))
+    sets = described.where("kind = 0").select("doc_id", "text_hash", "node", "n")
+    weights = _frequencies(described.where("kind = 1"))
+    classes = stored(
+        described.where("kind = 0 and node is not null").groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"), F.min(own_id).alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     )
-    wanted = member.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-    signatures = stored(described.where("kind = 0").select("doc_id", "node", "n", "bits").join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id"))
+
+    keys = stored(map_batches(texts.select("text"), _prefixes(rule, weights), "key long, node long, sized long"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    member = stored(stored(keys.join(shared, "key")).distinct())
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """node and items, at least of these nodes, by one more pass over the text."""
-        needed = bitmap(nodes.join(classes, "node"), F.col("doc_id"), NEED_BITS)
-        return stored(map_batches(texts.where("doc_id is not null"), _sets(rule, needed), "node long, items binary"))
+        needed = bitmap(nodes.join(classes, "node"), F.col("id"), NEED_BITS)
+        return stored(map_batches(texts.select(own_id, "text"), _sets(rule, needed), "node long, items binary"))
 
+    band, size = F.shiftright("sized", 40).cast("int"), F.col("sized").bitwiseAND(F.lit((1 << 40) - 1))
+    slices_of = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
     # rounds in slices, under the smallest key by either of two orders
+    firsts = [F.min(F.xxhash64("key", F.lit(seed))).alias(f"first{seed}") for seed in (1, 2)]
+    own = stored(member.groupBy("node").agg(*firsts, F.min("sized").alias("sized")).select("node", "first1", "first2", size.alias("n"), band.alias("band")))
     rounds = []
     for seed in (1, 2):
-        own = member.groupBy("node").agg(F.min(F.struct(F.xxhash64("key", F.lit(seed)), "band")).alias("first"))
-        own = own.select("node", F.xxhash64("first", F.lit(seed)).alias("spot"))
-        many = own.groupBy("spot").agg(F.count("*").alias("rows")).where("rows > 1")
-        slice_ = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("rows") / TILE_ROWS))
-        rounds.append(own.join(many, "spot").select("node", F.xxhash64("spot", slice_).alias("tile")))
+        one = own.select("node", "n", F.xxhash64(f"first{seed}", "band", F.lit(seed)).alias("spot"))
+        many = one.groupBy("spot").agg(F.count("*").alias("rows"), slices_of.alias("slices")).where("rows > 1")
+        slice_ = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("slices"))
+        rounds.append(one.join(many, "spot").select("node", F.xxhash64("spot", slice_).alias("tile")))
     tiles = rounds[0].unionAll(rounds[1]).select("tile", "node", F.col("node").alias("comp"), F.lit(2).cast("long").alias("side"))
-    links = _tile_links(rule, tiles, signatures, sets_of)
+    links = _tile_links(rule, tiles, classes, sets_of)
     known = components(links)
 
     # keys that still hold rows of more than one component
@@ -304,10 +347,13 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"))
     open_keys = stored(open_keys.where("x <> y").groupBy("rows", "who", "sum").agg(F.min("key").alias("key")).select("key"))
     if not open_keys.isEmpty():
-        rows = stored(labelled.join(open_keys, "key", "left_semi"))
-        slices = stored(rows.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("slices")))
+        rows = stored(labelled.join(open_keys, "key", "left_semi").select("key", "node", "comp", size.alias("n"), band.alias("band")))
+        slices = stored(rows.groupBy("key", "band").agg(slices_of.alias("slices")))
         at = rows.join(slices, ["key", "band"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-        other = slices.select("key", F.col("band").alias("band"), F.col("slices").alias("others"))
+        # one tile for a pair of slices of a band, one for a slice each of a band and the next; where a band is one
+        # slice, and the next one too, the next band's rows join the band's own tile
+        other = slices.select("key", "band", F.col("slices").alias("others"))
+        whole = (F.col("slices") == 1) & (F.col("others") == 1)
         each = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("j")
         within = at.select("*", each).select(
             "node", "comp",
@@ -315,22 +361,41 @@ def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             F.when(F.col("slice") == F.col("j"), 2).when(F.col("slice") < F.col("j"), 0).otherwise(1).cast("long").alias("side"),
         )
         every = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j")
-        lower = at.join(other.withColumn("band", F.col("band") - 1), ["key", "band"]).select("*", every).select(
+        lower = at.join(other.withColumn("band", F.col("band") - 1), ["key", "band"]).where(~whole).select("*", every).select(
             "node", "comp", F.xxhash64("key", "band", F.lit(1), "slice", "j").alias("tile"), F.lit(0).cast("long").alias("side")
         )
-        upper = at.withColumn("band", F.col("band") - 1).join(other, ["key", "band"]).select("*", every).select(
-            "node", "comp", F.xxhash64("key", "band", F.lit(1), "j", "slice").alias("tile"), F.lit(1).cast("long").alias("side")
+        upper = at.withColumn("band", F.col("band") - 1).join(other, ["key", "band"]).select("*", every, whole.alias("whole")).select(
+            "node", "comp", F.xxhash64("key", "band", F.when(F.col("whole"), 0).otherwise(1), "j", "slice").alias("tile"),
+            F.when(F.col("whole"), 3).otherwise(1).cast("long").alias("side"),
         )
         placed = stored(within.unionAll(lower).unionAll(upper))
         live = placed.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-        more = _tile_links(rule, placed.join(live, "tile", "left_semi"), signatures, sets_of)
+        more = _tile_links(rule, placed.join(live, "tile", "left_semi"), classes, sets_of)
         if not more.isEmpty():
             known = components(links.unionAll(more))
 
-    smallest = classes.join(known, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    to_root = classes.join(known, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    answer = to_root.join(smallest, "root").select("node", "component_id")
-    with_set = sets.where("node is not null").join(answer, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    without = sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    to_root = classes.select("node", "doc_id").join(known, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    smallest = to_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    answer = to_root.join(smallest, "root").select("node", "root", "component_id")
+    with_set = sets.where("node is not null").join(answer, "node").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", "component_id")
+    without = sets.where("node is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     return with_set.unionAll(without)
 
+
+def linked_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id of linked_rows."""
+    return linked_rows(docs, rule).select("doc_id", "n_shingles", "component_id")
+
+
+def surplus_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id and text_hash of the rows that a corpus with one document of each component does without.
+
+    The document with the smallest doc_id stays, of several with that doc_id the one with the smallest text_hash, and
+    where a component has no doc_id at all the one with the smallest text_hash. Rows that repeat both stand for one
+    document. Rows with an empty set are never surplus.
+    """
+    rows = stored(linked_rows(docs, rule).where("root is not null").select("root", "doc_id", "text_hash").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stay = rows.groupBy("root").agg(F.count("*").alias("rows"), F.min(order).alias("stay")).where("rows > 1")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("text_hash") == F.col("stay.text_hash")))
+    return rows.join(stay.select("root", "stay"), "root").where(other).select("doc_id", "text_hash")
