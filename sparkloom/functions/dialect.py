@@ -16,7 +16,7 @@ TYPES = {
     "TINYINT": "tinyint", "SERIAL": "int", "BIGSERIAL": "bigint", "SMALLSERIAL": "smallint", "CHAR": "string", "CHARACTER": "string",
     "VARCHAR": "string", "NCHAR": "string", "NVARCHAR": "string", "TEXT": "string", "NTEXT": "string", "STRING": "string", "JSON": "string",
     "JSONB": "string", "UUID": "string", "INET": "string", "CIDR": "string", "MACADDR": "string", "BYTEA": "binary", "IMAGE": "binary",
-    "BINARY": "binary", "MONEY": "decimal(19,2)", "TIME": "string", "INTERVAL": "string",
+    "BINARY": "binary", "MONEY": "decimal(19,2)", "TIME": "time(6)", "INTERVAL": "string",
 }
 PATTERNS = {
     "Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h", "i": "mm",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import replace
 from decimal import Decimal
 
@@ -12,6 +13,7 @@ from . import nodes as N
 from .lexer import DIALECTS, SqlError
 
 MIRROR = {"=": "=", "<>": "<>", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+INTEGERS = ("byte", "tinyint", "short", "smallint", "integer", "int", "long", "bigint")
 JOIN_HINTS = {"LOOP JOIN": "SHUFFLE_REPLICATE_NL", "HASH JOIN": "SHUFFLE_HASH", "MERGE JOIN": "MERGE"}
 
 
@@ -24,11 +26,14 @@ def string(text: str) -> str:
 
 
 class Emitter:
-    """views maps table names, lower case, to the names of views; half_even says how ROUND treats halves."""
+    """views maps table names, lower case, to the names of views; half_even says how ROUND treats halves; types gives the
+    types of a query's columns."""
 
-    def __init__(self, dialect: str = "ansi", views: dict[str, str] | None = None, half_even: bool = False) -> None:
-        self.dialect, self.views, self.half_even = DIALECTS[dialect], views or {}, half_even
+    def __init__(self, dialect: str = "ansi", views: dict[str, str] | None = None, half_even: bool = False, types: Callable[[str], list[str] | None] | None = None) -> None:
+        self.dialect, self.views, self.half_even, self.types = DIALECTS[dialect], views or {}, half_even, types
         self.ctes: list[set[str]] = []
+        self.heads: list[str] = []  # WITH clauses around the query at hand
+        self.scopes: list[tuple[str, dict[str, str]]] = []  # FROM clauses around it, and the labels of db.table in them
 
     # expressions
 
@@ -58,16 +63,53 @@ class Emitter:
         return f":{x.name}" if x.name else "?"
 
     def e_col(self, x):
-        return ".".join(map(quoted, x.parts))
+        return ".".join(map(quoted, self._within(x.parts)))
 
     def e_star(self, x):
-        return ".".join([*map(quoted, x.table), "*"])
+        but = f" EXCEPT ({', '.join(map(quoted, x.but))})" if x.but else ""
+        return ".".join([*map(quoted, self._within((*x.table, ""))[:-1]), "*"]) + but
+
+    def _within(self, parts: tuple) -> tuple:
+        """db.table.column as label.column, where a FROM clause around has that table."""
+        if len(parts) == 3:
+            for _, labels in reversed(self.scopes):
+                if label := labels.get(".".join(parts[:2]).lower()):
+                    return label, parts[2]
+        return parts
 
     def e_un(self, x):
         return f"({x.op} {self.expr(x.arg)})"
 
     def e_bin(self, x):
-        return f"({self.expr(x.left)} {x.op} {self.expr(x.right)})"
+        left, right = self.expr(x.left), self.expr(x.right)
+        if x.op == "/" and self.dialect.whole_division:
+            types = self._types(left, right)
+            if types is None:  # seen by the query around only: told apart as it runs
+                whole = " AND ".join(f"typeof({y}) IN ({', '.join(map(string, INTEGERS))})" for y in (left, right))
+                return f"(CASE WHEN {whole} THEN {left} div {right} ELSE {left} / {right} END)"
+            if set(types) <= set(INTEGERS):
+                return f"CAST({left} div {right} AS {max(types, key=list(INTEGERS).index)})"
+        if x.op == "+" and self.dialect.plus_joins and (types := self._types(left, right)) and "string" in types and set(types) <= {"string", "void"}:
+            return f"concat({left}, {right})"
+        return f"({left} {x.op} {right})"
+
+    def _types(self, *exprs: str) -> list[str] | None:
+        """The types of expressions where they stand."""
+        if self.types is None:
+            return None
+        source = f" FROM {self.scopes[-1][0]}" if self.scopes and self.scopes[-1][0] else ""
+        return self.types(f"{''.join(self.heads[-1:])}SELECT {', '.join(f'{e} AS t{i}' for i, e in enumerate(exprs))}{source}")
+
+    def e_like(self, x):
+        arg, pattern = self.expr(x.arg), self.expr(x.pattern)
+        if x.escape is not None:
+            return f"({arg} LIKE {pattern} ESCAPE {self.expr(x.escape)})"
+        if isinstance(x.pattern, N.Lit) and isinstance(x.pattern.value, str):
+            text = x.pattern.value
+            # a backslash escapes what follows in MySQL and PostgreSQL, and is a character as any other elsewhere
+            text = re.sub(r"\\(?![%_\\])", "", re.sub(r"\\\\", "\0", text)).replace("\0", "\\\\") if self.dialect.escapes else text.replace("\\", "\\\\")
+            return f"({arg} LIKE {string(text)})"
+        return f"({arg} LIKE {pattern})" if self.dialect.escapes else f"({arg} LIKE replace({pattern}, {string(chr(92))}, {string(chr(92) * 2)}))"
 
     def e_in(self, x):
         no = "NOT " if x.negated else ""
@@ -106,8 +148,13 @@ class Emitter:
         return f"array({self.all(x.items)})"
 
     def e_index(self, x):
-        arg, low = self.expr(x.arg), self.expr(x.low)
-        return f"slice({arg}, {low}, greatest({self.expr(x.high)} - {low} + 1, 0))" if x.slice else f"try_element_at({arg}, {low})"
+        arg = self.expr(x.arg)
+        if not x.slice:
+            return f"try_element_at({arg}, nullif({self.expr(x.low)}, 0))"
+        # what lies before the first element or after the last is left out
+        low = f"greatest({self.expr(x.low)}, 1)" if x.low is not None else "1"
+        high = self.expr(x.high) if x.high is not None else f"size({arg})"
+        return f"slice({arg}, {low}, greatest({high} - {low} + 1, 0))"
 
     def e_interval(self, x):
         raise SqlError("an interval stands only in a sum of dates")
@@ -144,6 +191,10 @@ class Emitter:
                 raise SqlError(f"an interval in {interval.unit} needs a literal")
             values = re.findall(r"\d+", str(interval.value.value))
             units = units[len(units) - len(values) :]
+            if units[-1] == "MICROSECOND":  # digits after the point
+                values[-1] = values[-1].ljust(6, "0")
+            if units == ["YEAR", "MONTH"]:  # one step: a day that a month lacks is cut once
+                units, values = ["MONTH"], [str(12 * int(values[0]) + int(values[1]))]
             minus ^= str(interval.value.value).strip().startswith("-")
         for unit, value in zip(units, values, strict=True):
             out = f"timestampadd({unit}, {'-' * minus}({value}), {out})"
@@ -175,16 +226,27 @@ class Emitter:
             return f"to_json(variant_get(parse_json({self.expr(base)}), {string(path)}, 'variant'))"
         if x.op == "<@":
             return self.e_json(N.Json("@>", x.right, x.left))
+        doc = self.expr(x.left)
         if x.op == "@>":
             lit = x.right.arg if isinstance(x.right, N.Cast) else x.right
             if not isinstance(lit, N.Lit):
                 raise SqlError("the contained document must be a literal")
-            return self._contains(f"{self.expr(x.left)}", "$", json.loads(lit.value))
-        keys = f"json_object_keys({self.expr(x.left)})"
+            want, variant = json.loads(lit.value, parse_float=Decimal), f"parse_json({doc})"
+            test = self._contains(variant, want)
+            if not isinstance(want, (dict, list)):  # a document that is a list contains its elements
+                test = f"({test} OR {self._contains(variant, [want])})"
+            return f"if({doc} IS NULL, NULL, {test})"
         if x.op == "?":
-            return f"array_contains({keys}, {self.expr(x.right)})"
+            return self._has_key(doc, self.expr(x.right))
         function = "exists" if x.op == "?|" else "forall"
-        return f"{function}({self.expr(x.right)}, k__ -> array_contains({keys}, k__))"
+        return f"{function}({self.expr(x.right)}, k__ -> {self._has_key(doc, 'k__')})"
+
+    def _has_key(self, doc: str, key: str) -> str:
+        """Whether key is a key of an object, a text in a list, or the text that the document is."""
+        text = lambda v: f"coalesce(schema_of_variant({v}) = 'STRING' AND try_variant_get({v}, '$', 'string') = {key}, false)"
+        variant = f"parse_json({doc})"
+        member = f"coalesce(exists(try_variant_get({variant}, '$', 'array<variant>'), e__ -> {text('e__')}), false)"
+        return f"if({doc} IS NULL, NULL, coalesce(array_contains(json_object_keys({doc}), {key}), false) OR {member} OR {text(variant)})"
 
     def _path(self, x: N.Node) -> tuple[N.Node, str]:
         if isinstance(x, N.Json) and x.op in ("->", "->>", "#>", "#>>"):
@@ -196,19 +258,26 @@ class Emitter:
             return base, path + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
         return x, "$"
 
-    def _contains(self, doc: str, path: str, want) -> str:
-        """doc at path contains want: all keys of an object, each element of an array in some element, an equal scalar."""
-        at = f"get_json_object({doc}, {string(path)})"
+    def _contains(self, v: str, want, depth: int = 0) -> str:
+        """The variant v contains want: all keys of an object, each element of a list in some element, an equal value of the same type."""
+        kind = f"schema_of_variant({v})"
         if isinstance(want, dict):
-            return "(" + " AND ".join([f"{at} IS NOT NULL", *(self._contains(doc, f"{path}['{k}']", v) for k, v in want.items())]) + ")"
-        if isinstance(want, list):
-            tests = [f"exists(from_json({at}, 'array<string>'), v__ -> v__ = {string(v if isinstance(v, str) else json.dumps(v))})" for v in want if not isinstance(v, (dict, list))]
-            if len(tests) < len(want):
-                raise SqlError("containment of documents within arrays is not supported")
-            return f"coalesce({' AND '.join(tests) or at + ' IS NOT NULL'}, false)"
-        if want is None:
-            return f"coalesce(to_json(variant_get(parse_json({doc}), {string(path)}, 'variant')) = 'null', false)"
-        return f"coalesce({at} = {string(want if isinstance(want, str) else json.dumps(want))}, false)"
+            tests = [f"{kind} LIKE 'OBJECT<%'"]
+            for k, w in want.items():
+                step = k.replace("\\", "\\\\").replace('"', '\\"')
+                tests.append(self._contains(f"try_variant_get({v}, {string(f'$["{step}"]')}, 'variant')", w, depth))
+        elif isinstance(want, list):
+            tests, e = [f"{kind} LIKE 'ARRAY<%'"], f"e{depth}__"
+            tests += [f"exists(try_variant_get({v}, '$', 'array<variant>'), {e} -> {self._contains(e, w, depth + 1)})" for w in want]
+        elif want is None:
+            tests = [f"{kind} = 'VOID'"]
+        elif isinstance(want, bool):
+            tests = [f"{kind} = 'BOOLEAN'", f"try_variant_get({v}, '$', 'boolean') = {str(want).lower()}"]
+        elif isinstance(want, str):
+            tests = [f"{kind} = 'STRING'", f"try_variant_get({v}, '$', 'string') = {string(want)}"]
+        else:
+            tests = [f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')", f"try_variant_get({v}, '$', 'decimal(38,9)') = CAST('{want}' AS decimal(38,9))"]
+        return f"coalesce({' AND '.join(tests)}, false)"
 
     # queries
 
@@ -221,6 +290,7 @@ class Emitter:
             if q.ctes:
                 each = (f"{quoted(c.name)}{'(' + ', '.join(map(quoted, c.columns)) + ')' if c.columns else ''} AS ({self.query(c.query)})" for c in q.ctes)
                 head = f"WITH {'RECURSIVE ' * q.recursive}{', '.join(each)} "
+                self.heads.append(head)
             body = self.branch(q.first, q)
             for op, branch in q.rest:  # left to right, without precedence
                 body = f"({body}) {op} ({self.branch(branch, None)})"
@@ -233,6 +303,8 @@ class Emitter:
             return head + body
         finally:
             self.ctes.pop()
+            if head:
+                self.heads.pop()
 
     def branch(self, b: N.Node, owner: N.Query | None) -> str:
         if isinstance(b, N.Query):
@@ -242,19 +314,40 @@ class Emitter:
     def select(self, s: N.Select) -> str:
         s = self._aliases(self._groups_frames(s))
         if s.top:
-            raise SqlError("TOP WITH TIES and TOP PERCENT stand only in the outermost SELECT, without set operations")
+            raise SqlError("TOP stands in a query that Engine.query has not seen")
         hints = [f"{JOIN_HINTS[h]}({', '.join(self.label(j.right) for j in s.joins)})" for h in s.hints if h in JOIN_HINTS and s.joins]
-        out = f"SELECT {f'/*+ {', '.join(hints)} */ ' if hints else ''}{'DISTINCT ' * s.distinct}{', '.join(self.items(s.items))}"
-        if s.source:
-            out += f" FROM {', '.join(map(self.table, s.source))}{self.joins(s.joins)}"
-        if s.where is not None:
-            out += f" WHERE {self.expr(s.where)}"
-        if s.group:
-            out += f" GROUP BY {', '.join(map(self.grouping, s.group))}"
-        if s.having is not None:
-            out += f" HAVING {self.expr(s.having)}"
+        s = self._labelled(s)
+        labels = {".".join(t.parts).lower(): t.alias or t.parts[-1] for t in (*s.source, *(j.right for j in s.joins)) if isinstance(t, N.Table)}
+        # ON may name the tables that FROM has; types are asked for once all of it is known
+        self.scopes.append(("", labels))
+        try:
+            source = f"{', '.join(map(self.table, s.source))}{self.joins(s.joins)}" if s.source else ""
+            self.scopes[-1] = (source, labels)
+            out = f"SELECT {f'/*+ {', '.join(hints)} */ ' if hints else ''}{'DISTINCT ' * s.distinct}{', '.join(self.items(s.items))}"
+            if s.source:
+                out += f" FROM {source}"
+            if s.where is not None:
+                out += f" WHERE {self.expr(s.where)}"
+            if s.group:
+                out += f" GROUP BY {', '.join(map(self.grouping, s.group))}"
+            if s.having is not None:
+                out += f" HAVING {self.expr(s.having)}"
+        finally:
+            self.scopes.pop()
         return out
 
+    def _labelled(self, s: N.Select) -> N.Select:
+        """Tables of two databases that share a name, without alias, labelled with both."""
+        tables = [t for t in (*s.source, *(j.right for j in s.joins)) if isinstance(t, N.Table)]
+        names = [(t.alias or t.parts[-1]).lower() for t in tables]
+
+        def put(t: N.Node) -> N.Node:
+            if isinstance(t, N.Table) and t.alias is None and len(t.parts) > 1 and names.count(t.parts[-1].lower()) > 1:
+                return replace(t, alias=".".join(t.parts))
+            return t
+
+        return replace(s, source=tuple(map(put, s.source)), joins=tuple(replace(j, right=put(j.right)) for j in s.joins))
+
     def items(self, items: tuple) -> list[str]:
         """The SELECT list, columns named as the rules say: alias, Table.Column where a name comes twice, NAME(col)."""
         names = [i.alias or (i.expr.parts[-1] if isinstance(i.expr, N.Col) else None) for i in items]
@@ -278,9 +371,16 @@ class Emitter:
                     known[i.alias.lower()] = i.expr
         if not known:
             return s
-        put = lambda x: known.get(x.parts[0].lower(), x) if isinstance(x, N.Col) and len(x.parts) == 1 else x
-        joins = tuple(replace(j, on=N.transform(j.on, put)) if j.on is not None else j for j in s.joins)
-        return replace(s, where=N.transform(s.where, put), joins=joins)
+        def put(x):
+            """Not below: a query within has names of its own."""
+            if isinstance(x, tuple):
+                return tuple(map(put, x))
+            if isinstance(x, N.Col):
+                return known.get(x.parts[0].lower(), x) if len(x.parts) == 1 else x
+            return N.children(x, put) if isinstance(x, N.Node) and not isinstance(x, N.Query) else x
+
+        joins = tuple(replace(j, on=put(j.on)) if j.on is not None else j for j in s.joins)
+        return replace(s, where=put(s.where), joins=joins)
 
     def _groups_frames(self, s: N.Select) -> N.Select:
         """GROUPS frames as RANGE frames over dense_rank, which a subquery adds."""
@@ -291,7 +391,7 @@ class Emitter:
         if not ranks:
             return s
         if len(s.source) != 1 or s.joins or s.group:
-            raise SqlError("a GROUPS frame needs a single table; put joins and groups in a derived table")
+            return self._groups_over(s, ranks)
         items = (N.Item(N.Star()), *(N.Item(N.Call("DENSE_RANK", (), False, w), name) for w, name in ranks.items()))
         inner = N.Select(items, source=s.source, where=s.where)
 
@@ -304,6 +404,26 @@ class Emitter:
         label = s.source[0].alias or (s.source[0].parts[-1] if isinstance(s.source[0], N.Table) else "t__")
         return replace(s, items=N.transform(s.items, change), source=(N.Derived(N.Query(inner), label),), where=None)
 
+    def _groups_over(self, s: N.Select, ranks: dict[N.Window, str]) -> N.Select:
+        """GROUPS frames over joins or groups: a derived table has each column and aggregate that the list uses, and the ranks."""
+        atoms: dict[N.Node, str] = {}
+
+        def lift(x):
+            if isinstance(x, tuple):
+                return tuple(map(lift, x))
+            if isinstance(x, N.Star) and x != N.Star():
+                raise SqlError("a GROUPS frame over a join or groups needs the columns by name")
+            if isinstance(x, N.Col) or isinstance(x, N.Call) and x.name in AGGREGATES and not x.over:
+                return N.Col((atoms.setdefault(x, f"c__{len(atoms)}"),))
+            if isinstance(x, N.Call) and x.over and x.over.frame and x.over.frame.mode == "GROUPS":
+                over = N.Window(lift(x.over.partition), (N.Order(N.Col((ranks[N.Window(x.over.partition, x.over.order)],))),), replace(x.over.frame, mode="RANGE"))
+                return replace(x, args=lift(x.args), over=over)
+            return N.children(x, lift) if isinstance(x, N.Node) and not isinstance(x, N.Query) else x
+
+        items = tuple(N.Item(lift(i.expr), i.alias or (i.expr.parts[-1] if isinstance(i.expr, N.Col) else None)) for i in s.items)
+        inner = (*(N.Item(x, name) for x, name in atoms.items()), *(N.Item(N.Call("DENSE_RANK", (), False, w), name) for w, name in ranks.items()))
+        return N.Select(items, distinct=s.distinct, source=(N.Derived(N.Query(replace(s, items=inner, distinct=False)), "t__"),))
+
     def grouping(self, g: N.Node) -> str:
         if not isinstance(g, N.Grouping):
             return self.expr(g)

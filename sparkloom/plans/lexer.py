@@ -16,16 +16,18 @@ class Dialect:
     identifier: str  # opening quotes of identifiers
     string: str  # quotes of strings
     json: bool = False
-    half_even: bool = False
+    escapes: bool = False  # a backslash escapes in patterns of LIKE
+    whole_division: bool = False  # / of whole numbers is whole
+    plus_joins: bool = False  # + of texts joins them
 
 
 DIALECTS = {
     d.name: d
     for d in (
         Dialect("ansi", '"[', "'"),
-        Dialect("mysql", "`[", "'\""),
-        Dialect("postgresql", '"', "'", json=True),
-        Dialect("sqlserver", '"[', "'"),
+        Dialect("mysql", "`[", "'\"", escapes=True),
+        Dialect("postgresql", '"', "'", json=True, escapes=True, whole_division=True),
+        Dialect("sqlserver", '"[', "'", whole_division=True, plus_joins=True),
     )
 }
 

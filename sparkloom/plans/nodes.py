@@ -32,6 +32,11 @@ def transform(x: Any, change: Callable[[Node], Node]) -> Any:
     return x
 
 
+def children(x: Node, change: Callable[[Any], Any]) -> Node:
+    """x with change applied to what its fields hold, and no deeper."""
+    return replace(x, **{f.name: change(getattr(x, f.name)) for f in fields(x)})
+
+
 def _node(cls):
     return dataclass(frozen=True)(cls)
 
@@ -54,6 +59,7 @@ class Col(Node):
 @_node
 class Star(Node):
     table: tuple[str, ...] = ()
+    but: tuple[str, ...] = ()  # columns left out
 
 
 @_node
@@ -91,6 +97,13 @@ class Un(Node):
     arg: Node
 
 
+@_node
+class Like(Node):
+    arg: Node
+    pattern: Node
+    escape: Node | None = None
+
+
 @_node
 class In(Node):
     arg: Node
@@ -150,7 +163,7 @@ class Array(Node):
 @_node
 class Index(Node):
     arg: Node
-    low: Node
+    low: Node | None
     high: Node | None = None
     slice: bool = False
 
@@ -319,7 +332,7 @@ class ColumnDef(Node):
     default: Node | None = None
     identity: tuple | None = None
     check: Node | None = None
-    references: tuple | None = None
+    references: tuple | None = None  # table, columns, and pairs of event and action
 
 
 @_node

@@ -128,7 +128,8 @@ class Parser:
 
     def predicate(self, op: str, left: N.Node, negated: bool) -> N.Node:
         if op == "LIKE":
-            out = N.Bin("LIKE", left, self.expr(COMPARE))
+            pattern = self.expr(COMPARE)
+            out = N.Like(left, pattern, self.expr(COMPARE) if self.take("ESCAPE") else None)
             return N.Un("NOT", out) if negated else out
         if op == "BETWEEN":
             low = self.expr(COMPARE)
@@ -144,9 +145,9 @@ class Parser:
 
     def subscript(self, left: N.Node) -> N.Node:
         self.need("[")
-        low = self.expr()
+        low = None if self.is_(":") else self.expr()
         if self.take(":"):
-            out = N.Index(left, low, self.expr(), True)
+            out = N.Index(left, low, None if self.is_("]") else self.expr(), True)
         else:
             out = N.Index(left, low)
         self.need("]")
@@ -635,7 +636,7 @@ class Parser:
             elif self.take("CHECK"):
                 found["check"] = self.in_parens(self.expr)[0]
             elif self.take("REFERENCES"):
-                found["references"] = (self.names(), self.in_parens(self.name) if self.is_("(") else ())
+                found["references"] = (self.names(), self.in_parens(self.name) if self.is_("(") else (), tuple(self.rules().items()))
             else:
                 return N.ColumnDef(name, type_, **found)
 
@@ -650,15 +651,24 @@ class Parser:
         self.need("FOREIGN", "KEY")
         columns = self.in_parens(self.name)
         self.need("REFERENCES")
-        table, target, rules = self.names(), self.in_parens(self.name), {}
-        while self.take("ON"):
+        table, target = self.names(), self.in_parens(self.name)
+        return N.Constraint("FOREIGN KEY", name, columns, None, table, target, **self.rules())
+
+    def rules(self) -> dict[str, str]:
+        """What a foreign key does ON DELETE and ON UPDATE."""
+        out = {}
+        while self.is_("ON", "DELETE") or self.is_("ON", "UPDATE"):
+            self.need("ON")
             event = "on_delete" if self.take("DELETE") else "on_update"
             if event == "on_update":
                 self.need("UPDATE")
             for words in (("CASCADE",), ("RESTRICT",), ("NO", "ACTION"), ("SET", "NULL"), ("SET", "DEFAULT")):
                 if self.take(*words):
-                    rules[event] = " ".join(words)
-        return N.Constraint("FOREIGN KEY", name, columns, None, table, target, **rules)
+                    out[event] = " ".join(words)
+                    break
+            else:
+                raise SqlError(f"expected an action at {self.now.at}")
+        return out
 
     def is_constraint(self) -> bool:
         return self.now.word in ("CONSTRAINT", "FOREIGN", "CHECK") or self.is_("PRIMARY", "KEY") or self.is_("UNIQUE", "(")
