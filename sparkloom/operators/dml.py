@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans import nodes as N
 from ..plans.emit import Emitter, quoted
 from ..plans.lexer import SqlError
 from ..sources.storage import stored
 
-ROW = "row__"
+ROW, ORDINAL = "row__", "ordinal__"
 
 
 @dataclass
 class Mutation:
-    """table: the rows after the change; output: what RETURNING or OUTPUT asks for, or None."""
+    """table: the rows after the change; changes: op__, inserted and deleted, structs of the table's columns, one of them
+    null where a row has no image before or after; output: what RETURNING or OUTPUT asks for, or None."""
 
     table: DataFrame
+    changes: DataFrame
     output: DataFrame | None = None
 
 
@@ -34,8 +37,17 @@ def _image(columns: list[str], prefix: str, name: str) -> Column:
     return F.struct(*(F.col(prefix + c).alias(c) for c in columns)).alias(name)
 
 
+def _none(table: DataFrame, name: str) -> Column:
+    """No image: all columns null in the types of table."""
+    return F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema)).alias(name)
+
+
+def _op(kind: str) -> Column:
+    return F.lit(kind).alias("op__")
+
+
 def _output(changes: DataFrame, items: tuple, default: str, dialect: str) -> DataFrame | None:
-    """items over changes (columns inserted and deleted, structs of the table's columns, and op__)."""
+    """items over changes."""
     if not items:
         return None
     emit, columns = Emitter(dialect), changes.schema["inserted"].dataType.names
@@ -80,8 +92,16 @@ def _cast(df: DataFrame, column: str, as_: DataFrame) -> Column:
     return F.col(column).cast(as_.schema[column].dataType)
 
 
+def in_order(rows: DataFrame, name: str) -> DataFrame:
+    """rows, stored, with a column that numbers them from 0 in the order of their partitions; no row passes through one task."""
+    marked = stored(rows.withColumn("p__", F.spark_partition_id()).withColumn("m__", F.monotonically_increasing_id()))
+    before = F.coalesce(F.sum("n__").over(W.orderBy("p__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = marked.groupBy("p__").agg(F.count("*").alias("n__")).select("p__", before.alias("b__"))
+    return marked.join(F.broadcast(starts), "p__").withColumn(name, F.col("b__") + F.col("m__").bitwiseAND(F.lit((1 << 33) - 1))).drop("p__", "m__", "b__")
+
+
 def _new_rows(engine, s: N.Insert, table: DataFrame, dialect: str) -> DataFrame:
-    """The rows to insert, with all columns of the table in its types; defaults and generated keys filled in."""
+    """The rows to insert, stored, with all columns of the table in its types and ORDINAL; defaults and generated keys filled in."""
     from . import ddl
 
     definition = engine.state.definitions.get(target(s), ddl.Definition())
@@ -94,7 +114,7 @@ def _new_rows(engine, s: N.Insert, table: DataFrame, dialect: str) -> DataFrame:
         rows = engine.query(s.query, dialect)
         if len(rows.columns) != len(given):
             raise SqlError(f"{len(given)} columns are filled and {len(rows.columns)} given")
-        rows = rows.toDF(*given)
+        rows = in_order(rows.toDF(*given), ORDINAL)
     else:
         if any(len(r) != len(given) for r in s.rows):
             raise SqlError(f"each row of VALUES needs {len(given)} values")
@@ -106,7 +126,7 @@ def _new_rows(engine, s: N.Insert, table: DataFrame, dialect: str) -> DataFrame:
                 return f"CAST({emit.expr(default) if default is not None else 'NULL'} AS {table.schema[column].dataType.simpleString()})"
             return f"CAST({emit.expr(x)} AS {table.schema[column].dataType.simpleString()})"
 
-        selects = (f"SELECT {', '.join(f'{value(v, c)} AS {quoted(c)}' for v, c in zip(r, given, strict=True))}" for r in s.rows)
+        selects = (f"SELECT {', '.join(f'{value(v, c)} AS {quoted(c)}' for v, c in zip(r, given, strict=True))}, CAST({i} AS bigint) AS {ORDINAL}" for i, r in enumerate(s.rows))
         rows = engine.spark_sql(" UNION ALL ".join(selects)).coalesce(1)
     emit = Emitter(dialect)
     for c in table.columns:
@@ -115,65 +135,88 @@ def _new_rows(engine, s: N.Insert, table: DataFrame, dialect: str) -> DataFrame:
                 top = table.agg(F.max(c)).first()[0]
                 first = step[0] if top is None else top + step[1]
                 engine.last_insert_id = first
-                rows = rows.withColumn(c, F.lit(first) + F.monotonically_increasing_id() * step[1])
+                rows = rows.withColumn(c, F.lit(first) + F.col(ORDINAL) * step[1])
             else:
                 default = definition.default(c)
                 rows = rows.withColumn(c, F.expr(emit.expr(default)) if default is not None else F.lit(None))
-    return rows.select(*(_cast(rows, c, table).alias(c) for c in table.columns))
+    return stored(rows.select(*(_cast(rows, c, table).alias(c) for c in table.columns), ORDINAL))
 
 
 def _insert(engine, s: N.Insert, dialect: str) -> Mutation:
-    from . import ddl
-
     table = engine.table(target(s))
     columns = table.columns
     rows = _new_rows(engine, s, table, dialect)
-    if s.conflict is None:
-        changes = rows.select(F.struct(*columns).alias("inserted"), F.struct(*(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns)).alias("deleted"))
-        return Mutation(table.unionByName(rows), _output(changes, s.returning, "inserted", dialect))
-    c, definition = s.conflict, engine.state.definitions.get(target(s), ddl.Definition())
+    if s.conflict is not None:
+        return _upsert(engine, s, table, rows, dialect)
+    changes = rows.select(_op("INSERT"), F.struct(*columns).alias("inserted"), _none(table, "deleted"))
+    return Mutation(table.unionByName(rows.drop(ORDINAL)), changes, _output(changes, s.returning, "inserted", dialect))
+
+
+def _upsert(engine, s: N.Insert, table: DataFrame, rows: DataFrame, dialect: str) -> Mutation:
+    """New rows in their order, by rounds: a round takes the rows that no earlier one left shares a key with.
+
+    Rows without a value in a key conflict with none by it. MySQL applies rows of one key one after the other; PostgreSQL
+    refuses to update a row twice, and DO NOTHING leaves out all but the first. Each key is one equality join.
+    """
+    from . import ddl
+
+    columns, c = table.columns, s.conflict
+    definition = engine.state.definitions.get(target(s), ddl.Definition())
     keys = [c.columns] if c.columns else [definition.named_key(c.constraint)] if c.constraint else definition.keys()
     if not keys:
         raise SqlError(f"{target(s)} has no key on which rows could conflict")
     keys = [[x for x in columns if x.lower() in {k.lower() for k in key}] for key in keys]
-    rows = rows.dropDuplicates(keys[0])
-    old, new = table.alias("old__"), rows.alias("new__")
-    tests = None
-    for key in keys:  # several keys: a row that meets any of them
-        same = None
-        for k in key:
-            one = F.col(f"old__.{k}") == F.col(f"new__.{k}")
-            same = one if same is None else same & one
-        tests = same if tests is None else tests | same
-    if c.where is not None:
-        tests = tests & F.expr(Emitter(dialect).expr(N.transform(c.where, lambda x: N.Col(("old__", x.parts[-1])) if isinstance(x, N.Col) else x)))
-    fresh = new.join(old, tests, "left_anti").select(*columns)
-    none = F.struct(*(F.lit(None).cast(table.schema[x].dataType).alias(x) for x in columns)).alias("deleted")
-    added = fresh.select(F.struct(*columns).alias("inserted"), none)
-    if not c.sets:
-        return Mutation(table.unionByName(fresh), _output(added, s.returning, "inserted", dialect))
+    emit = Emitter(dialect)
+    partial = emit.expr(N.transform(c.where, lambda x: N.Col((x.parts[-1],)) if isinstance(x, N.Col) else x)) if c.where is not None else "true"
 
     def put(x: N.Node) -> N.Node:
         if isinstance(x, N.Call) and x.name == "VALUES" and len(x.args) == 1:
-            return N.Col(("new__", x.args[0].parts[-1]))
-        if isinstance(x, N.Col) and x.parts[0] not in ("new__", "old__"):
-            return N.Col(("new__" if len(x.parts) > 1 and x.parts[-2].lower() == "excluded" else "old__", x.parts[-1]))
+            return N.Col((f"new__{x.args[0].parts[-1].removeprefix('old__')}",))
+        if isinstance(x, N.Col) and x.parts[0][:5] != "new__":
+            return N.Col((("new__" if len(x.parts) > 1 and x.parts[-2].lower() == "excluded" else "old__") + x.parts[-1].lower(),))
         return x
 
-    emit = Emitter(dialect)
     sets = {k.lower(): emit.expr(N.transform(v, put)) for k, v in c.sets}
-    hit = F.col("new__.hit__").isNotNull()
-    if c.update_where is not None:
-        hit = hit & F.coalesce(F.expr(emit.expr(N.transform(c.update_where, put))), F.lit(False))
-    met = old.join(rows.withColumn("hit__", F.lit(True)).alias("new__"), tests, "left")
-    images = met.select(
-        hit.alias("hit__"),
-        *(F.col(f"old__.{x}").alias(f"o_{x}") for x in columns),
-        *((F.expr(sets[x.lower()]).cast(table.schema[x].dataType) if x.lower() in sets else F.col(f"old__.{x}")).alias(f"n_{x}") for x in columns),
-    )
-    kept = images.select(*(F.when(F.col("hit__"), F.col(f"n_{x}")).otherwise(F.col(f"o_{x}")).alias(x) for x in columns))
-    changed = images.where("hit__").select(_image(columns, "n_", "inserted"), _image(columns, "o_", "deleted"))
-    return Mutation(kept.unionByName(fresh), _output(added.unionByName(changed), s.returning, "inserted", dialect))
+    allowed = F.coalesce(F.expr(emit.expr(N.transform(c.update_where, put))), F.lit(False)) if c.update_where is not None else F.lit(True)
+    numbered, changes = in_order(table, ROW), None
+    touched = numbered.select(ROW).limit(0)
+    while not rows.isEmpty():
+        ready = F.lit(True)
+        for key in keys:
+            held = F.expr(partial) & ~reduce(Column.__or__, (F.col(k).isNull() for k in key))
+            place = F.row_number().over(W.partitionBy(*key, F.when(held, F.lit(-1)).otherwise(F.col(ORDINAL))).orderBy(ORDINAL))
+            ready = ready & (place == 1)
+        marked = stored(rows.withColumn("ready__", ready))
+        turn, rows = marked.where("ready__").drop("ready__"), marked.where("not ready__").drop("ready__")
+        met = None
+        for i, key in enumerate(keys):
+            one = turn.where(F.expr(partial)).select(ORDINAL, *key).join(numbered.where(F.expr(partial)).select(ROW, *key), key).select(ORDINAL, ROW, F.lit(i).alias("k__"))
+            met = one if met is None else met.unionAll(one)
+        met = met.groupBy(ORDINAL).agg(F.min(F.struct("k__", ROW))[ROW].alias(ROW))
+        first = stored(met.groupBy(ROW).agg(F.min(ORDINAL).alias("f__")).join(met, ROW))
+        # rows that meet one row of the table under different keys take turns too
+        rows = rows.unionByName(turn.join(first.where(F.col("f__") < F.col(ORDINAL)).select(ORDINAL), ORDINAL, "left_semi"))
+        turn = turn.join(first.where(F.col("f__") < F.col(ORDINAL)).select(ORDINAL), ORDINAL, "left_anti")
+        met = first.where(F.col("f__") == F.col(ORDINAL)).select(ORDINAL, ROW)
+        if c.sets and not c.mysql and not met.join(touched, ROW, "left_semi").isEmpty():
+            raise SqlError("ON CONFLICT DO UPDATE cannot change a row a second time")
+        fresh = turn.join(met, ORDINAL, "left_anti").withColumn(ROW, -1 - F.col(ORDINAL))
+        added = fresh.select(_op("INSERT"), F.struct(*columns).alias("inserted"), _none(table, "deleted"))
+        kept = numbered
+        if c.sets:
+            pairs = turn.join(met, ORDINAL).select(ROW, *(F.col(x).alias(f"new__{x.lower()}") for x in columns), F.lit(True).alias("hit__"))
+            wide = numbered.select(ROW, *(F.col(x).alias(f"old__{x.lower()}") for x in columns)).join(pairs, ROW, "left")
+            hit = F.coalesce(F.col("hit__"), F.lit(False)) & allowed
+            after = {x: F.expr(sets[x.lower()]).cast(table.schema[x].dataType) if x.lower() in sets else F.col(f"old__{x.lower()}") for x in columns}
+            images = stored(wide.select(ROW, hit.alias("hit__"), *(F.col(f"old__{x.lower()}").alias(f"o_{x}") for x in columns), *(F.when(hit, v).otherwise(F.col(f"old__{x.lower()}")).alias(f"n_{x}") for x, v in after.items())))
+            kept = images.select(*(F.col(f"n_{x}").alias(x) for x in columns), ROW)
+            added = added.unionByName(images.where("hit__").select(_op("UPDATE"), _image(columns, "n_", "inserted"), _image(columns, "o_", "deleted")))
+            touched = touched.unionAll(images.where("hit__").select(ROW)).unionAll(fresh.select(ROW))
+        numbered = stored(kept.select(*columns, ROW).unionByName(fresh.select(*columns, ROW)))
+        changes = added if changes is None else changes.unionByName(added)
+    if changes is None:
+        changes = table.limit(0).select(_op("INSERT"), F.struct(*columns).alias("inserted"), _none(table, "deleted"))
+    return Mutation(numbered.select(*columns), changes, _output(changes, s.returning, "inserted", dialect))
 
 
 def _update(engine, s: N.Update, dialect: str) -> Mutation:
@@ -195,8 +238,8 @@ def _update(engine, s: N.Update, dialect: str) -> Mutation:
         images = _select(engine, s, table, [*old, *new.values(), f"{hit} AS hit__"], dialect, ((), ()))
     after = [F.when(F.col("hit__"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) if c.lower() in new else F.col(f"o_{c}") for c in columns]
     images = images.select("hit__", *(F.col(f"o_{c}") for c in columns), *(a.alias(f"a_{c}") for a, c in zip(after, columns, strict=True)))
-    changes = images.where("hit__").select(_image(columns, "a_", "inserted"), _image(columns, "o_", "deleted"))
-    return Mutation(images.select(*(F.col(f"a_{c}").alias(c) for c in columns)), _output(changes, s.returning, "inserted", dialect))
+    changes = images.where("hit__").select(_op("UPDATE"), _image(columns, "a_", "inserted"), _image(columns, "o_", "deleted"))
+    return Mutation(images.select(*(F.col(f"a_{c}").alias(c) for c in columns)), changes, _output(changes, s.returning, "inserted", dialect))
 
 
 def _delete(engine, s: N.Delete, dialect: str) -> Mutation:
@@ -211,8 +254,8 @@ def _delete(engine, s: N.Delete, dialect: str) -> Mutation:
         hit = f"coalesce({engine.emitter(s.where, dialect).expr(s.where)}, false)" if s.where is not None else "true"
         images = _select(engine, s, table, ["*", f"{hit} AS hit__"], dialect, ((), ()))
         kept, gone = images.where("not hit__").select(*columns), images.where("hit__").select(*columns)
-    changes = gone.select(F.struct(*columns).alias("deleted"), F.struct(*columns).alias("inserted"))
-    return Mutation(kept, _output(changes, s.returning, "deleted", dialect))
+    changes = gone.select(_op("DELETE"), F.struct(*columns).alias("deleted"), _none(table, "inserted"))
+    return Mutation(kept, changes, _output(changes, s.returning, "deleted", dialect))
 
 
 def _merge(engine, s: N.Merge, dialect: str) -> Mutation:
@@ -252,5 +295,5 @@ def _merge(engine, s: N.Merge, dialect: str) -> Mutation:
     idle = images.where(f"act__ = 'KEEP' and {ROW} is not null").dropDuplicates([ROW]).join(changing.select(ROW).distinct(), ROW, "left_anti")
     after = images.where("act__ in ('UPDATE', 'INSERT')").select(*(F.col(f"n_{c}").alias(c) for c in columns)).unionByName(idle.select(*(F.col(f"o_{c}").alias(c) for c in columns)))
     none = [F.when(F.col("act__") != "DELETE", F.col(f"n_{c}")).alias(c) for c in columns]
-    changes = images.where("act__ <> 'KEEP'").select(F.struct(*none).alias("inserted"), _image(columns, "o_", "deleted"))
-    return Mutation(after, _output(changes, s.returning, "inserted", dialect))
+    changes = images.where("act__ <> 'KEEP'").select(F.col("act__").alias("op__"), F.struct(*none).alias("inserted"), _image(columns, "o_", "deleted"))
+    return Mutation(after, changes, _output(changes, s.returning, "inserted", dialect))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,10 @@ from .plans import nodes as N
 from .plans.emit import Emitter, quoted
 from .plans.lexer import SqlError
 from .plans.parser import parse, parse_script
-from .sources.storage import Sources
+from .sources.storage import Sources, stored
+
+#: After so many changes a table's rows are written, so that plans do not grow without end.
+STORED_AFTER = 16
 
 
 @dataclass
@@ -24,9 +28,10 @@ class State:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     definitions: dict[str, ddl.Definition] = field(default_factory=dict)
     views: dict[str, N.CreateView] = field(default_factory=dict)
+    age: dict[str, int] = field(default_factory=dict)  # changes of a table since it was read
 
     def copy(self) -> State:
-        return State(dict(self.tables), {k: replace(v) for k, v in self.definitions.items()}, dict(self.views))
+        return State(dict(self.tables), {k: replace(v) for k, v in self.definitions.items()}, dict(self.views), dict(self.age))
 
 
 class Engine:
@@ -34,7 +39,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, sources: Sources | None = None, half_even: bool = False) -> None:
         self.spark, self.sources, self.half_even = spark, sources or Sources(), half_even
-        self.state, self.saved, self.row_count, self.last_insert_id = State(), [], 0, None
+        self.state, self.saved, self.changes, self.last_insert_id = State(), [], None, None
         self.prefix = f"sl{id(self)}_"
 
     def register(self, name: str, df: DataFrame) -> Engine:
@@ -46,6 +51,11 @@ class Engine:
             self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
         return self
 
+    @property
+    def row_count(self) -> int:
+        """Rows that the last INSERT, UPDATE, DELETE or MERGE put in, changed or took out; counted when asked for."""
+        return 0 if self.changes is None else self.changes.count()
+
     def register_function(self, name: str, function: Callable) -> Engine:
         """A pandas UDF, or another Spark UDF, under a name for SQL."""
         self.spark.udf.register(name, function)
@@ -100,6 +110,8 @@ class Engine:
                 return N.Lit(calls[x.name](*(a.value for a in x.args)))
             return x
 
+        if any(isinstance(x, N.Type) and x.name == "TIME" for x in N.walk(statement)):
+            self.spark.conf.set("spark.sql.timeType.enabled", "true")  # off unless set, and needed until the rows are read
         return N.transform(statement, put)
 
     def run(self, statement: N.Node, dialect: str = "ansi") -> Any:
@@ -107,16 +119,28 @@ class Engine:
             return self.into(statement, dialect) if isinstance(statement.first, N.Select) and statement.first.into else self.query(statement, dialect)
         if isinstance(statement, N.Transaction):
             return self.transaction(statement)
-        if isinstance(statement, (N.Insert, N.Update, N.Delete, N.Merge)):
-            change = dml.apply(self, statement, dialect)
-            name = dml.target(statement)
-            ddl.check(self, name, change.table)
-            self.register(name, change.table)
-            ddl.follow(self, name)
-            if getattr(statement, "output_into", None) and change.output is not None:
-                self.register(statement.output_into, change.output)
-            return change
-        return ddl.apply(self, statement)
+        before = self.state.copy()
+        try:
+            if isinstance(statement, (N.Insert, N.Update, N.Delete, N.Merge)):
+                return self.change(statement, dialect)
+            return ddl.apply(self, statement)
+        except Exception:
+            self.state = before  # a statement that fails leaves all tables as they were
+            raise
+
+    def change(self, statement: N.Node, dialect: str) -> dml.Mutation:
+        change, name = dml.apply(self, statement, dialect), dml.target(statement)
+        self.state.age[name] = self.state.age.get(name, 0) + 1
+        if self.state.age[name] % STORED_AFTER == 0:
+            change.table = stored(change.table)
+        ddl.check(self, name, change.table)
+        self.register(name, change.table)
+        if any(".".join(c.table).lower() == name for d in self.state.definitions.values() for c in ddl.foreign_keys(d)):
+            ddl.follow(self, name, change.changes)
+        if statement.output_into and change.output is not None:
+            self.register(statement.output_into, change.output)
+        self.changes = change.changes
+        return change
 
     def into(self, q: N.Query, dialect: str) -> DataFrame:
         df = self.query(replace(q, first=replace(q.first, into=None)), dialect)
@@ -139,7 +163,14 @@ class Engine:
                     raise
                 views[name] = self.prefix + re.sub(r"\W", "_", name)
                 df.createOrReplaceTempView(views[name])
-        return Emitter(dialect, views, self.half_even)
+        return Emitter(dialect, views, self.half_even, self.types)
+
+    def types(self, text: str) -> list[str] | None:
+        """The types of a query's columns as Spark analyses it, or None if it cannot stand alone."""
+        try:
+            return [f.dataType.typeName() for f in self.spark_sql(text).schema]
+        except SqlError:
+            return None
 
     def spark_sql(self, text: str, names: Iterable[str] = ()) -> DataFrame:
         """text as Spark analyses it; with names that differ only in case, told apart by case."""
@@ -158,12 +189,55 @@ class Engine:
             self.spark.conf.set("spark.sql.caseSensitive", old)
 
     def query(self, q: N.Query, dialect: str = "ansi") -> DataFrame:
-        q = N.transform(q, _simple_top)
+        q = self.inner_tops(N.transform(q, _simple_top), dialect, ())
         if isinstance(q.first, N.Select) and q.first.top and not q.rest:
             return self.top(q, dialect)
         names = [i.alias or i.expr.parts[-1] for i in getattr(q.first, "items", ()) if i.alias or isinstance(i.expr, N.Col)]
         return self.spark_sql(self.emitter(q, dialect).query(q), names)
 
+    def inner_tops(self, q: N.Query, dialect: str, ctes: tuple, outermost: bool = True) -> N.Query:
+        """TOP PERCENT and WITH TIES below the outermost SELECT, or under set operations, in terms of LIMIT and a semi-join."""
+
+        def inside(x: Any, known: tuple) -> Any:
+            if isinstance(x, tuple):
+                return tuple(inside(y, known) for y in x)
+            if isinstance(x, N.Query):
+                return self.inner_tops(x, dialect, known, False)
+            if isinstance(x, N.Select) and x.top:
+                return self.without_top(N.Query(N.children(x, lambda y: inside(y, known))), dialect, known)
+            return N.children(x, lambda y: inside(y, known)) if isinstance(x, N.Node) else x
+
+        bodies: tuple = ()
+        for c in q.ctes:
+            bodies += (replace(c, query=self.inner_tops(c.query, dialect, ctes + bodies, False)),)
+        known = ctes + bodies
+        own = isinstance(q.first, N.Select) and q.first.top and not q.rest
+        first = N.children(q.first, lambda y: inside(y, known)) if own else inside(q.first, known)
+        q = replace(q, ctes=bodies, first=first, rest=tuple((op, inside(b, known)) for op, b in q.rest))
+        return self.without_top(q, dialect, known) if own and not outermost else q
+
+    def without_top(self, q: N.Query, dialect: str, ctes: tuple) -> N.Query:
+        top, plain = q.first.top, replace(q.first, top=None)
+        if not isinstance(top.count, N.Lit):
+            raise SqlError("TOP needs a number")
+        n = top.count.value
+        if top.percent:
+            n = -(-self.query(replace(q, first=plain, order=(), ctes=ctes), dialect).count() * n // 100)
+        n = N.Lit(int(n))
+        if not top.ties or not q.order:
+            return replace(q, first=plain, limit=n)
+        by_alias = {i.alias.lower(): i.expr for i in plain.items if i.alias}
+        keys = [by_alias.get(o.expr.parts[-1].lower(), o.expr) if isinstance(o.expr, N.Col) else o.expr for o in q.order]
+        hidden = [f"k__{i}" for i in range(len(keys))]
+        wide = replace(plain, items=(*plain.items, *map(N.Item, keys, hidden)))
+        order = tuple(replace(o, expr=N.Col((h,))) for o, h in zip(q.order, hidden, strict=True))
+        first = N.Query(N.Select((N.Item(N.Star()),), source=(N.Derived(N.Query(wide), "t__"),)), order=order, limit=n)
+        first = N.Select(tuple(N.Item(N.Col((h,))) for h in hidden), distinct=True, source=(N.Derived(first, "f__"),))
+        on = reduce(lambda a, b: N.Bin("AND", a, b), (N.Bin("<=>", N.Col(("w__", h)), N.Col(("f__", h))) for h in hidden))
+        join = N.Join("LEFT SEMI", N.Derived(N.Query(first), "f__"), on)
+        outer = N.Select((N.Item(N.Star(("w__",), tuple(hidden))),), source=(N.Derived(N.Query(wide), "w__"),), joins=(join,))
+        return N.Query(outer, ctes=q.ctes)
+
     def top(self, q: N.Query, dialect: str) -> DataFrame:
         """TOP n PERCENT and WITH TIES.
 
