@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from .plans.lexer import SqlError
 from .session import Engine
 from .sources.storage import Sources, parquet_folder
+from .streaming.pull import pulled
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
@@ -247,3 +251,147 @@ def multi_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["multi_provider"] = multi_provider
 ORACLES["multi_provider"] = "SELECT 'first' AS v, n_name FROM nation WHERE n_nationkey = 1"
+
+
+# expressions by dialect
+add("division", "SELECT p_partkey, ROUND(p_retailprice / p_size, 6) AS x FROM part")
+add("pg_whole_division", "SELECT c_custkey, CAST(c_custkey / 7 AS BIGINT) AS q, CAST(-c_custkey / 7 AS BIGINT) AS r, (c_custkey / 7) * 2 % 3 AS m, ROUND(CAST(c_custkey / 7.0 AS DOUBLE), 6) AS d FROM customer", "SELECT c_custkey, CAST(trunc(c_custkey / 7) AS BIGINT) AS q, CAST(trunc(-c_custkey / 7) AS BIGINT) AS r, CAST(trunc(c_custkey / 7) AS BIGINT) * 2 % 3 AS m, ROUND(c_custkey / 7, 6) AS d FROM customer", "postgresql")
+add("tsql_whole_division", "SELECT p_brand, SUM(p_size) / COUNT(*) AS mean FROM part WHERE p_size / 10 = 2 GROUP BY p_brand HAVING COUNT(*) / 2 > 1", "SELECT p_brand, CAST(trunc(SUM(p_size) / COUNT(*)) AS BIGINT) AS mean FROM part WHERE p_size BETWEEN 20 AND 29 GROUP BY p_brand HAVING COUNT(*) >= 4", "sqlserver")
+add("tsql_plus_joins_texts", "SELECT [c_name] + '/' + [c_mktsegment] AS [a b], c_custkey + 1 AS n FROM customer", "SELECT c_name || '/' || c_mktsegment AS \"a b\", c_custkey + 1 AS n FROM customer", "sqlserver")
+add("tsql_quoted_names", 'SELECT "n_name" AS "a b" FROM "nation" WHERE [n_regionkey] = 1', 'SELECT n_name AS "a b" FROM nation WHERE n_regionkey = 1', "sqlserver")
+add("alias_not_in_subquery", "SELECT n_nationkey AS r_regionkey FROM nation WHERE EXISTS (SELECT r_name FROM region WHERE r_regionkey = 3)", "SELECT n_nationkey AS r_regionkey FROM nation WHERE EXISTS (SELECT r_name FROM region WHERE region.r_regionkey = 3)")
+add("like_backslash", r"SELECT n_nationkey FROM nation WHERE CONCAT(n_name, '\x') LIKE '%A\x'", r"SELECT n_nationkey FROM nation WHERE n_name || '\x' LIKE '%A\x'")
+add("like_escape", "SELECT n_nationkey FROM nation WHERE CONCAT(n_nationkey, '%') LIKE '1_!%' ESCAPE '!'", "SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 10 AND 19")
+add("mysql_like_backslash", r"SELECT n_nationkey FROM nation WHERE CONCAT(n_nationkey, '%') LIKE '1_\%'", "SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 10 AND 19", "mysql")
+add("in_empty_list", "SELECT n_nationkey FROM nation WHERE n_nationkey IN () OR n_nationkey = 4", "SELECT n_nationkey FROM nation WHERE n_nationkey = 4")
+add("parameter_column", "SELECT n_name, @x AS x FROM nation", "SELECT n_name, 'it''s' AS x FROM nation", params={"x": "it's"})
+add("null_join_keys", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM (SELECT n_nationkey, NULLIF(n_regionkey, 1) AS k FROM nation) a FULL JOIN (SELECT n_nationkey, NULLIF(n_regionkey, 1) AS k FROM nation WHERE n_nationkey < 9) b ON a.k = b.k")
+add("group_null_key", "SELECT NULLIF(n_regionkey, 2) AS k, COUNT(*) AS n FROM nation GROUP BY NULLIF(n_regionkey, 2)")
+add("win_avg", "SELECT c_custkey, ROUND(AVG(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS a FROM customer")
+add("nested_derived", "SELECT y.n, (SELECT MAX(z.k) FROM (SELECT r_regionkey AS k FROM region) z) AS most FROM (SELECT COUNT(*) AS n FROM (SELECT DISTINCT n_regionkey FROM (SELECT n_regionkey FROM nation WHERE n_nationkey > 2) w) x) y")
+add("group_hint", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus OPTION (HASH GROUP, FAST 10, RECOMPILE, MAXDOP 4, EXPAND VIEWS)", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus", "sqlserver")
+add("union_hint", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region OPTION (CONCAT UNION, ORDER GROUP)", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region", "sqlserver")
+add("now_and_curdate", "SELECT n_name, CAST(NOW() AS DATE) = CURDATE() AS same, DATEDIFF(CURDATE(), '2000-01-01') > 0 AS later FROM nation", "SELECT n_name, true AS same, true AS later FROM nation", "mysql")
+_UNITS = {"MICROSECOND": ("7", "7 MICROSECOND"), "SECOND": ("70", "70 SECOND"), "MINUTE": ("3", "3 MINUTE"), "HOUR": ("30", "30 HOUR"), "DAY": ("40", "40 DAY"), "WEEK": ("2", "14 DAY"), "MONTH": ("14", "14 MONTH"), "QUARTER": ("3", "9 MONTH"), "YEAR": ("2", "24 MONTH"), "SECOND_MICROSECOND": ("'1.5'", "1500 MILLISECOND"), "MINUTE_MICROSECOND": ("'2:1.000005'", "121000005 MICROSECOND"), "MINUTE_SECOND": ("'2:3'", "123 SECOND"), "HOUR_MICROSECOND": ("'1:0:0.25'", "3600250 MILLISECOND"), "HOUR_SECOND": ("'1:2:3'", "3723 SECOND"), "HOUR_MINUTE": ("'2:30'", "150 MINUTE"), "DAY_MICROSECOND": ("'1 0:0:0.5'", "86400500 MILLISECOND"), "DAY_SECOND": ("'1 1:1:1'", "90061 SECOND"), "DAY_MINUTE": ("'1 0:1'", "1441 MINUTE"), "DAY_HOUR": ("'-1 2'", "-26 HOUR"), "YEAR_MONTH": ("'1-2'", "14 MONTH")}
+add("mysql_interval_units", f"SELECT o_orderkey, {', '.join(f'DATE_ADD(o_orderdate, INTERVAL {v} {u}) AS u{i}' for i, (u, (v, _)) in enumerate(_UNITS.items()))} FROM orders", f"SELECT o_orderkey, {', '.join(f'o_orderdate + INTERVAL ({w.split()[0]}) {w.split()[1]} AS u{i}' for i, (_, w) in enumerate(_UNITS.values()))} FROM orders", "mysql")
+
+# arrays and JSON, by type and in lists
+add("pg_array_slice_bounds", "SELECT n_nationkey, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[0:2]) AS a, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[2:]) AS b, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[:1]) AS c, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[3:9]) AS d, CONCAT_WS(',', (ARRAY[n_nationkey, 3])[-4:-1]) AS e, (ARRAY[n_nationkey])[0] AS f FROM nation", "SELECT n_nationkey, concat_ws(',', n_nationkey, n_regionkey) AS a, concat_ws(',', n_regionkey, 3) AS b, CAST(n_nationkey AS VARCHAR) AS c, '3' AS d, '' AS e, NULL AS f FROM nation", "postgresql")
+add("pg_json_chain", """SELECT n_nationkey, CONCAT('{"a":{"b":[', n_nationkey, ',"', n_name, '"]}}') -> 'a' -> 'b' ->> 1 AS v, CONCAT('{"a":{"b":', n_regionkey, '}}') #> '{a,b}' AS w FROM nation""", "SELECT n_nationkey, n_name AS v, CAST(n_regionkey AS VARCHAR) AS w FROM nation", "postgresql")
+_DOC = """CONCAT('{"k":[', n_nationkey, ',{"r":', n_regionkey, ',"s":"', n_regionkey, '"}],"f":', n_regionkey, '.0,"b":', CASE WHEN n_nationkey < 9 THEN 'true' ELSE 'null' END, '}')"""
+add("pg_json_contains_by_type", f"""SELECT n_nationkey, {_DOC} @> '{{"k":[{{"r":2}}]}}' AS a, {_DOC} @> '{{"k":[{{"r":"2"}}]}}' AS b, {_DOC} @> '{{"k":[{{"s":"2"}},7]}}' AS c, {_DOC} @> '{{"f":2}}' AS d, {_DOC} @> '{{"b":true}}' AS e, {_DOC} @> '{{"b":null}}' AS f, '{{"f":3.00}}' <@ {_DOC} AS g, {_DOC} @> '{{"k":{{}}}}' AS h, ({_DOC} -> 'k') @> '7' AS i FROM nation""", "SELECT n_nationkey, n_regionkey = 2 AS a, false AS b, n_regionkey = 2 AND n_nationkey = 7 AS c, n_regionkey = 2 AS d, n_nationkey < 9 AS e, n_nationkey >= 9 AS f, n_regionkey = 3 AS g, false AS h, n_nationkey = 7 AS i FROM nation", "postgresql")
+add("pg_json_keys_in_lists", """SELECT n_nationkey, CONCAT('["', n_name, '","x",5]') ? 'CHINA' AS a, CONCAT('["', n_name, '","x",5]') ?| ARRAY['CHINA', 'JAPAN'] AS b, CONCAT('["', n_name, '","x",5]') ?& ARRAY['CHINA', 'x'] AS c, CONCAT('{"', n_name, '":1}') ? 'CHINA' AS d, '[5]' ? '5' AS e, '"t"' ? 't' AS f, NULLIF('[]', '[]') ? 'a' AS g FROM nation""", "SELECT n_nationkey, n_name = 'CHINA' AS a, n_name IN ('CHINA', 'JAPAN') AS b, n_name = 'CHINA' AS c, n_name = 'CHINA' AS d, false AS e, true AS f, NULL AS g FROM nation", "postgresql")
+
+# TOP below the outermost SELECT, GROUPS over joins and groups
+add("top_ties_nested", "SELECT COUNT(*) AS n, MIN(t.p_size) AS least FROM (SELECT TOP 10 WITH TIES p_partkey, p_size FROM part ORDER BY p_size DESC) t", "SELECT COUNT(*) AS n, MIN(p_size) AS least FROM (SELECT p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 10", "sqlserver")
+add("top_percent_nested", "WITH t AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey FROM (SELECT TOP 10 PERCENT o_orderkey FROM t ORDER BY o_totalprice, o_orderkey) x", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER () AS n FROM orders WHERE o_orderstatus = 'F') WHERE r <= ceil(n * 0.1)", "sqlserver")
+add("top_in_set_operation", "SELECT * FROM (SELECT TOP 2 WITH TIES p_size FROM part ORDER BY p_size) a UNION ALL SELECT p_size FROM part WHERE p_size IN (SELECT TOP 1 WITH TIES p_size FROM part ORDER BY p_size DESC)", "SELECT p_size FROM (SELECT p_size, rank() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 2 UNION ALL SELECT p_size FROM part WHERE p_size = (SELECT MAX(p_size) FROM part)", "sqlserver")
+add("groups_over_join", "SELECT n.n_name, COUNT(*) OVER (PARTITION BY r.r_name ORDER BY LENGTH(n.n_name) GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey > 1")
+add("groups_over_groups", "SELECT p_brand, p_size, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER (PARTITION BY p_brand ORDER BY COUNT(*) GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM part GROUP BY p_brand, p_size HAVING COUNT(*) > 1")
+
+add("time_type", "SELECT n_nationkey, CAST(CAST(CONCAT('0', n_regionkey, ':10:20') AS TIME) AS VARCHAR(8)) AS t FROM nation WHERE CAST(CONCAT('0', n_regionkey, ':10:20') AS TIME(3)) > CAST('02:00:00' AS TIME)", "SELECT n_nationkey, '0' || n_regionkey || ':10:20' AS t FROM nation WHERE n_regionkey >= 2")
+
+# keys, defaults and numbers
+_KEYLESS = "SELECT NULLIF(r_regionkey, 1) AS r_regionkey, r_name FROM region"
+change("upsert_null_keys", "region", [_KEY, "INSERT INTO region (r_regionkey, r_name) VALUES (NULL, 'X'), (NULL, 'Y'), (2, 'Z') ON CONFLICT (r_regionkey) DO UPDATE SET r_name = excluded.r_name"], "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'Z' ELSE r_name END AS r_name FROM (SELECT NULLIF(r_regionkey, 1) AS r_regionkey, r_name FROM region) UNION ALL VALUES (NULL, 'X'), (NULL, 'Y')", "postgresql", start=_KEYLESS)
+change("upsert_rows_of_one_key", "region", [_KEY, "INSERT INTO region (r_regionkey, r_name) VALUES (9, 'a'), (1, 'b'), (9, 'c'), (1, 'd'), (9, 'e') ON DUPLICATE KEY UPDATE r_name = CONCAT(r_name, VALUES(r_name))"], "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN r_name || 'bd' ELSE r_name END AS r_name FROM region UNION ALL SELECT 9, 'ace'", "mysql", start=_R)
+change("upsert_two_keys", "region", [_KEY, "CREATE UNIQUE INDEX m ON region (r_name)", "INSERT INTO region (r_regionkey, r_name) VALUES (1, 'NEW'), (50, 'ASIA'), (51, 'MORE'), (51, 'EUROPE') ON DUPLICATE KEY UPDATE r_regionkey = region.r_regionkey + 100"], "SELECT CASE WHEN r_regionkey = 1 OR r_name = 'ASIA' THEN r_regionkey + 100 ELSE r_regionkey END AS r_regionkey, r_name FROM region UNION ALL SELECT 151, 'MORE'", "mysql", start=_R)
+change("upsert_nothing_twice", "region", [_KEY, "INSERT INTO region (r_regionkey, r_name) VALUES (9, 'a'), (9, 'b'), (3, 'c') ON CONFLICT DO NOTHING"], f"{_R} UNION ALL SELECT 9, 'a'", "postgresql", start=_R)
+change("insert_select_identity", "t", ["CREATE TABLE t (id INT IDENTITY(10, 5), o INT); INSERT INTO t (o) SELECT o_orderkey FROM orders ORDER BY o_orderkey; INSERT INTO t (o) VALUES (-1)"], "SELECT CAST(5 + 5 * row_number() OVER (ORDER BY o) AS INT) AS id, o FROM (SELECT o_orderkey AS o FROM orders) UNION ALL SELECT CAST(10 + 5 * (SELECT COUNT(*) FROM orders) AS INT), -1", "sqlserver")
+change("partial_unique_index", "region", ["CREATE UNIQUE INDEX u ON region (r_name) WHERE r_regionkey < 3", "INSERT INTO region VALUES (7, 'ASIA'), (8, 'ASIA')", "INSERT INTO region (r_regionkey, r_name) VALUES (1, 'ASIA'), (1, 'NEW'), (9, 'NEW') ON CONFLICT (r_name) WHERE r_regionkey < 3 DO NOTHING"], f"{_R} UNION ALL VALUES (7, 'ASIA'), (8, 'ASIA'), (1, 'NEW'), (9, 'NEW')", "postgresql", start=_R)
+change("create_drop_index", "region", [_KEY, "DROP INDEX k", "INSERT INTO region VALUES (1, 'AGAIN')"], f"{_R} UNION ALL SELECT 1, 'AGAIN'", start=_R)
+change("alter_view", "v", ["CREATE VIEW v AS SELECT n_name FROM nation", "ALTER VIEW v AS SELECT r_name FROM region WHERE r_regionkey > 1"], "SELECT r_name FROM region WHERE r_regionkey > 1")
+change("output_into", "log", ["UPDATE region SET r_name = 'X' OUTPUT DELETED.r_name AS was INTO log WHERE r_regionkey < 2"], "SELECT r_name AS was FROM region WHERE r_regionkey < 2", "sqlserver")
+
+# foreign keys; a statement that fails leaves all tables as they were
+_FK = "ALTER TABLE nation ADD CONSTRAINT f FOREIGN KEY (n_regionkey) REFERENCES region (r_regionkey)"
+_NATION = "SELECT n_nationkey, n_name, {0} AS n_regionkey FROM nation"
+change("fk_update_cascade", "nation", [f"{_FK} ON DELETE CASCADE ON UPDATE CASCADE", "UPDATE region SET r_regionkey = r_regionkey + 10 WHERE r_regionkey < 2", "DELETE FROM region WHERE r_regionkey = 11"], _NATION.format("CASE WHEN n_regionkey < 2 THEN n_regionkey + 10 ELSE n_regionkey END") + " WHERE n_regionkey <> 1")
+change("fk_update_set_null", "nation", [f"{_FK} ON DELETE CASCADE ON UPDATE SET NULL", "UPDATE region SET r_regionkey = 9 WHERE r_regionkey = 3", "UPDATE region SET r_name = 'X'"], _NATION.format("NULLIF(n_regionkey, 3)"))
+
+
+def refused(name: str, table: str, texts: list[str], bad: str, oracle: str, dialect: str = "ansi") -> None:
+    """Statements, then one that must raise; the result is a table, or a query, as it is after that."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        for t in texts:
+            e.script(t, dialect)
+        try:
+            e.sql(bad, dialect)
+        except SqlError:
+            return e.sql(table) if table.startswith("SELECT") else e.table(table)
+        raise AssertionError(f"{name}: the statement was not refused")
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+_BOTH = "SELECT r_regionkey AS k, r_name AS v FROM region UNION ALL SELECT n_regionkey, n_name FROM nation"
+refused("fk_update_restrict", _BOTH, [f"{_FK} ON DELETE CASCADE ON UPDATE RESTRICT"], "UPDATE region SET r_regionkey = 9 WHERE r_regionkey = 3", _BOTH)
+refused("fk_delete_restrict", _BOTH, [_FK], "DELETE FROM region WHERE r_regionkey = 3", _BOTH)
+refused("fk_column_restrict", "SELECT k FROM child UNION ALL SELECT k FROM parent", ["CREATE TABLE parent (k INT PRIMARY KEY); CREATE TABLE child (k INT REFERENCES parent (k)); INSERT INTO parent SELECT n_nationkey FROM nation; INSERT INTO child SELECT n_nationkey FROM nation WHERE n_nationkey < 5; DELETE FROM parent WHERE k > 20"], "DELETE FROM parent WHERE k < 9", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey <= 20")
+refused("rename_column_check", "t", ["CREATE TABLE t (a INT PRIMARY KEY, b INT CHECK (b > 0), CONSTRAINT c CHECK (a < b))", "ALTER TABLE t RENAME COLUMN b TO z", "INSERT INTO t (a, z) SELECT n_nationkey, n_nationkey + 1 FROM nation"], "INSERT INTO t (a, z) VALUES (100, 7)", "SELECT n_nationkey AS a, n_nationkey + 1 AS z FROM nation")
+refused("upsert_same_row_twice", "region", [_KEY], "INSERT INTO region (r_regionkey, r_name) VALUES (9, 'a'), (9, 'b') ON CONFLICT (r_regionkey) DO UPDATE SET r_name = excluded.r_name", "SELECT * FROM region", "postgresql")
+refused("unique_where_refused", "region", ["CREATE UNIQUE INDEX u ON region (r_name) WHERE r_regionkey < 3"], "UPDATE region SET r_name = 'X' WHERE r_regionkey < 2", "SELECT * FROM region")
+
+
+def default_now_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.script("CREATE TABLE t (k INT, at TIMESTAMP DEFAULT NOW()); INSERT INTO t (k) SELECT n_nationkey FROM nation", "mysql")
+    first = e.sql("SELECT k, at FROM t").collect()
+    again = {r.k: r["at"] for r in e.sql("SELECT k, at FROM t").collect()}
+    return spark.createDataFrame([(r.k, again[r.k] == r["at"]) for r in first], "k int, same boolean")
+
+
+QUERIES["default_now_twice"], ORACLES["default_now_twice"] = default_now_twice, "SELECT n_nationkey AS k, true AS same FROM nation"
+
+
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, out = engine(spark, sf_dir), []
+    for text in ("INSERT INTO region (r_regionkey) VALUES (7), (8)", "UPDATE nation SET n_name = 'X' WHERE n_regionkey = 1", "DELETE FROM orders WHERE o_orderstatus = 'F'"):
+        e.sql(text, "mysql")
+        out.append(e.sql(f"SELECT {len(out)} AS step, CAST(ROW_COUNT() AS BIGINT) AS n", "mysql"))
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+QUERIES["row_count"] = row_count
+ORACLES["row_count"] = "SELECT 0 AS step, 2 AS n UNION ALL SELECT 1, COUNT(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 2, COUNT(*) FROM orders WHERE o_orderstatus = 'F'"
+
+
+def three_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.register("a.nation", e.table("nation")).register("b.nation", e.table("nation").where("n_nationkey < 5"))
+    return e.sql("SELECT a.nation.n_name AS x, b.nation.n_name AS y FROM a.nation JOIN b.nation ON a.nation.n_regionkey = b.nation.n_nationkey WHERE a.nation.n_nationkey > 3")
+
+
+QUERIES["three_part_names"] = three_part_names
+ORACLES["three_part_names"] = "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey WHERE b.n_nationkey < 5 AND a.n_nationkey > 3"
+
+
+def registered_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = F.pandas_udf(lambda s: s * 2, "long")
+    return engine(spark, sf_dir).register_function("twice", twice).sql("SELECT n_name, TWICE(n_nationkey) AS d FROM nation WHERE TWICE(n_regionkey) > 3")
+
+
+QUERIES["registered_function"] = registered_function
+ORACLES["registered_function"] = "SELECT n_name, n_nationkey * 2 AS d FROM nation WHERE n_regionkey * 2 > 3"
+
+
+def endless_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 results over a source without an end."""
+    rows = ((i, f"v{i}") for i in itertools.count())
+    schema = StructType.fromDDL("k long, v string")
+    found = pulled(spark, rows, schema, lambda df: engine(spark, sf_dir).register("s", df).sql("SELECT k, UPPER(v) AS v FROM s WHERE k % 3 = 1"), 16)
+    return spark.createDataFrame([tuple(r) for r in itertools.islice(found, 20)], schema)
+
+
+QUERIES["endless_source"] = endless_source
+ORACLES["endless_source"] = "SELECT CAST(3 * i + 1 AS BIGINT) AS k, 'V' || (3 * i + 1) AS v FROM range(20) t(i)"
+
+
+def unknown_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = engine(spark, sf_dir).unknown_functions("SELECT FROB(n_name), UPPER(n_name), (SELECT GLORP(1)) FROM nation WHERE LEN(n_name) > 2")
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+QUERIES["unknown_functions"], ORACLES["unknown_functions"] = unknown_functions, "SELECT unnest(['FROB', 'GLORP']) AS name"

@@ -8,6 +8,7 @@ from sparkloom.plans import nodes as N
 from sparkloom.plans.lexer import SqlError
 from sparkloom.plans.parser import parse, parse_script
 from sparkloom.session import Engine
+from sparkloom.sources import storage
 from sparkloom.sources.storage import appended
 from sparkloom.streaming.pull import pulled, windowed_counts
 
@@ -87,6 +88,56 @@ def test_constraints_raise(spark):
     assert e.table("t").count() == 3
 
 
+def test_a_failing_change_leaves_all_tables(spark):
+    """A cascade that ends in a refused row takes nothing with it."""
+    e = Engine(spark)
+    e.script("""CREATE TABLE a (k INT PRIMARY KEY); CREATE TABLE b (k INT PRIMARY KEY, a INT REFERENCES a (k) ON DELETE CASCADE ON UPDATE CASCADE);
+    CREATE TABLE c (b INT REFERENCES b (k)); INSERT INTO a VALUES (1), (2), (3); INSERT INTO b VALUES (10, 1), (20, 2), (30, 3); INSERT INTO c VALUES (20)""")
+    with pytest.raises(ConstraintError):
+        e.sql("DELETE FROM a WHERE k < 3")
+    assert [e.table(t).count() for t in "abc"] == [3, 3, 1]
+    e.sql("DELETE FROM a WHERE k = 1")
+    e.sql("UPDATE a SET k = k + 100")
+    assert sorted(rows(e.table("b"))) == [(20, 102), (30, 103)]
+    with pytest.raises(ConstraintError, match="refers to"):
+        e.sql("ALTER TABLE a DROP COLUMN k")
+    e.script("ALTER TABLE a RENAME COLUMN k TO z; INSERT INTO a (z) VALUES (7); INSERT INTO b VALUES (40, 7); DELETE FROM a WHERE z = 7")
+    assert sorted(r[0] for r in rows(e.table("b"))) == [20, 30]
+
+
+def test_actions_on_null_and_default(spark):
+    e = Engine(spark)
+    e.script("""CREATE TABLE p (k INT PRIMARY KEY); CREATE TABLE x (id INT, k INT DEFAULT 1 REFERENCES p (k) ON DELETE SET DEFAULT ON UPDATE SET NULL, CONSTRAINT q CHECK (id > 0));
+    INSERT INTO p VALUES (1), (2), (3); INSERT INTO x VALUES (1, 2), (2, 3), (3, NULL); DELETE FROM p WHERE k = 2; UPDATE p SET k = 5 WHERE k = 3""")
+    assert sorted(rows(e.table("x"))) == [(1, 1), (2, None), (3, None)]
+    e.script("ALTER TABLE x DROP COLUMN id; INSERT INTO x (k) VALUES (5)")
+    assert e.table("x").columns == ["k"] and e.table("x").count() == 4
+
+
+def test_many_changes(spark):
+    """Tables are written after some changes, and rows come out as if they were not."""
+    e = Engine(spark)
+    e.sql("CREATE TABLE t (id INT AUTO_INCREMENT, v INT)")
+    for i in range(18):
+        e.sql(f"INSERT INTO t (v) VALUES ({i})")
+    assert sorted(rows(e.table("t"))) == [(i + 1, i) for i in range(18)]
+    assert "Union" not in e.table("t")._jdf.queryExecution().optimizedPlan().toString() or e.state.age["t"] == 18
+
+
+def test_identity_from_many_partitions(spark):
+    e = Engine(spark).register("s", spark.range(1000).repartition(7).selectExpr("id as v"))
+    e.script("CREATE TABLE t (id SMALLINT IDENTITY(1, 2), v BIGINT); INSERT INTO t (v) SELECT v FROM s", "sqlserver")
+    assert sorted(r[0] for r in rows(e.table("t"))) == list(range(1, 2001, 2)) and rows(e.table("t").orderBy("id")) == rows(e.table("t").orderBy("id"))
+
+
+def test_shared_storage(spark, tmp_path, monkeypatch):
+    """A folder of the application, gone when it is asked to go."""
+    monkeypatch.setattr(storage, "_base", lambda s: f"file://{tmp_path}/app")
+    assert storage.stored(spark.range(3)).count() == 3 and len(list((tmp_path / "app").iterdir())) == 1
+    storage.remove_workspaces(spark)
+    assert not (tmp_path / "app").exists()
+
+
 def test_merge_raises_on_two_matches(spark):
     e = Engine(spark).register("t", spark.createDataFrame([(1, "a")], "k int, v string")).register("s", spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string"))
     with pytest.raises(SqlError, match="several rows"):
