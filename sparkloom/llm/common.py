@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.storage import stored, workspace  # noqa: F401  for the operators
+
 #: What separates words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of rows that a Python worker is given at once, unless the session has a bound of its own.
@@ -21,39 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent and Spark runs inside one process is a local folder made;
-    on a cluster without the setting the warehouse, which is shared too, takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local["):
-            base = tempfile.mkdtemp(prefix="sparkloom-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
-        if "://" not in base and not base.startswith("file:"):
-            base = f"file://{base}"
-    return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again.
-
-    This cuts the lineage without tying any block to one executor, and gives the planner true sizes.
-    """
-    path = f"{workspace(df.sparkSession)}/part"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if a count proves that it has at most most_rows rows, else df as it is.
+def small_side(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """df marked for broadcast if its rows, summed up, prove to hold at most most_bytes, else df as it is.
 
-    Without the mark the join shuffles both sides and adaptive execution splits its skewed partitions.
+    Numbers count 16 bytes, texts their length more, lists and structs the length of their JSON form more. Without the
+    mark the join shuffles both sides and adaptive execution splits its skewed partitions.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "struct", "map"):
+            size = size + F.octet_length(F.to_json(F.struct(f.name)))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes else df
 
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
