@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
-import io
+import itertools
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
@@ -13,12 +13,14 @@ from urllib.parse import quote, urlsplit
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import small_side, stored
+from .common import map_batches, small_side, stored
 
 BLOCK_ENTRIES = 256
 LEAST_REVISIT_BYTES = 100
+#: Look-ups that one task does, and the most tasks that a stage is cut into.
+LOOKUPS, MOST_TASKS = 1000, 50_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -139,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVIS
         .select("digest", "first")
     )
     first = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
-    marked = rows.join(small_side(repeated, 200_000), "digest", "left").withColumn("to", first)
+    marked = rows.join(small_side(repeated), "digest", "left").withColumn("to", first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"archive-{TaskContext.get().partitionId():07d}.warc.gz"
@@ -156,19 +158,19 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVIS
 
         first = next(it := parts(), None)
         if first is not None:
-            _write(folder, name, (x for y in ([first], it) for x in y))
+            _write(folder, name, itertools.chain([first], it))
             cols = list(zip(*entries, strict=True))
             yield pa.record_batch([pa.array(c) for c in cols], names=["key", "page", "file", "offset", "length"])
 
     wanted = marked.select("page_id", "url", "payload", "digest", F.expr("if(to is null, null, to.page_id)").alias("to"), F.expr("if(to is null, null, to.url)").alias("to_url"))
-    return stored(wanted.mapInArrow(run, "key string, page string, file string, offset long, length long"))
+    return stored(map_batches(wanted, run, "key string, page string, file string, offset long, length long"))
 
 
-def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> None:
     """Sort the entries into index-N.cdx.gz, blocks of block_entries lines, each with its directory index-N.dir.
 
-    Entries are sorted over range partitions by URL key and page. The result has one row for each file, with its first key:
-    the top of the index, as long as there are partitions.
+    Entries are sorted over range partitions by URL key and page. index.top lists the files with their first keys, in
+    order, as many as there are partitions; a last small task writes it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,39 +179,42 @@ def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTR
         directory: list[str] = []
 
         def parts() -> Iterator[bytes]:
-            at, block = 0, []
-            for line in lines:
-                block.append(line)
-                if len(block) == block_entries:
-                    data = gzip.compress("\n".join(block).encode(), 6, mtime=0)
-                    directory.append("\t".join([*block[0].split("\t")[:2], str(at), str(len(data))]))
-                    at += len(data)
-                    yield data
-                    block = []
-            if block:
+            at = 0
+            while block := list(itertools.islice(lines, block_entries)):
                 data = gzip.compress("\n".join(block).encode(), 6, mtime=0)
                 directory.append("\t".join([*block[0].split("\t")[:2], str(at), str(len(data))]))
+                at += len(data)
                 yield data
 
         first = next(it := parts(), None)
         if first is not None:
-            _write(folder, f"{name}.cdx.gz", (x for y in ([first], it) for x in y))
+            _write(folder, f"{name}.cdx.gz", itertools.chain([first], it))
             _write(folder, f"{name}.dir", iter(["\n".join(directory).encode()]))
             key, page = directory[0].split("\t")[:2]
             yield pa.record_batch([pa.array([key]), pa.array([page]), pa.array([name])], names=["key", "page", "name"])
 
+    def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = ["\t".join(x) for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        _write(folder, "index.top", iter(["\n".join(lines).encode()]))
+        yield pa.record_batch([pa.array([len(lines)])], names=["files"])
+
     ordered = entries.select("key", "page", "file", "offset", "length").repartitionByRange("key", "page").sortWithinPartitions("key", "page")
-    return stored(ordered.mapInArrow(run, "key string, page string, name string"))
+    files = stored(map_batches(ordered, run, "key string, page string, name string"))
+    stored(map_batches(files.coalesce(1).sortWithinPartitions("key", "page"), list_files, "files long"))
 
 
 class CaptureIndex:
     """Finds captures: by binary search among the files, then in a file's directory, then in a block."""
 
-    def __init__(self, folder: str, top: list[tuple[str, str, str]]) -> None:
+    def __init__(self, folder: str) -> None:
         self.fs, self.path = _place(folder)
-        self.top = sorted((k.encode(), p.encode(), n) for k, p, n in top)
+        self.top = [(k.encode(), p.encode(), n) for k, p, n in self._lines("index.top")]
         self.name, self.directory, self.at, self.block = None, [], None, []
 
+    def _lines(self, name: str) -> list[list[str]]:
+        with self.fs.open_input_stream(f"{self.path}/{name}", compression=None) as f:
+            return [x.split("\t") for x in f.read().decode().split("\n") if x]
+
     def _read(self, name: str, offset: int, length: int) -> bytes:
         with self.fs.open_input_file(f"{self.path}/{name}") as f:
             return f.read_at(length, offset)
@@ -222,9 +227,7 @@ class CaptureIndex:
             return None
         name = self.top[i][2]
         if name != self.name:
-            with self.fs.open_input_stream(f"{self.path}/{name}.dir", compression=None) as f:
-                lines = [x.split("\t") for x in f.read().decode().split("\n")]
-            self.name, self.directory, self.at = name, [(x[0].encode(), x[1].encode(), int(x[2]), int(x[3])) for x in lines], None
+            self.name, self.directory, self.at = name, [(x[0].encode(), x[1].encode(), int(x[2]), int(x[3])) for x in self._lines(f"{name}.dir")], None
         j = bisect.bisect_right(self.directory, want, key=lambda x: x[:2]) - 1
         if j < 0:
             return None
@@ -242,12 +245,18 @@ class CaptureIndex:
         return parse(gzip.decompress(self._read(entry[2], int(entry[3]), int(entry[4]))))[1]
 
 
-def read_archives(spark: SparkSession, folder: str, files: DataFrame, top: DataFrame) -> DataFrame:
+def _tasks(df: DataFrame, each: int) -> int:
+    """So many tasks that each has about so many rows, up to MOST_TASKS."""
+    return max(1, min(MOST_TASKS, -(-df.count() // each)))
+
+
+def read_archives(folder: str, files: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the archives.
 
-    files lists the archives (column file), top is what write_index returned. Archives are read front to back, one
-    record at a time, and a response's size and digest are taken from its payload. The payload of a revisit is
-    that of the response it names: each response named is looked up once in the capture index and range-read.
+    files lists the archives (column file). Archives are read front to back, one record at a time and one task for
+    each archive, and a response's size and digest are taken from its payload. The payload of a revisit is that of the
+    response it names: each response named is looked up once in the capture index and range-read, by tasks of
+    neighbouring keys. No archives give no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +281,10 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, top: DataF
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_key"])
 
     names = files.select("file").distinct()
-    records = stored(names.repartition("file").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_key string"))
-    starts = [tuple(r) for r in top.select("key", "page", "name").collect()]  # one row for each index file
+    records = stored(map_batches(names.repartitionByRange(_tasks(names, 1), "file"), read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_key string"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CaptureIndex(folder, starts)
+        index = CaptureIndex(folder)
         for batch in batches:
             sizes, digests = [], []
             for page, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -286,7 +294,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, top: DataF
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["refers_to", "payload_bytes", "payload_digest"])
 
     revisits = records.where("record_type = 'revisit'")
-    named = revisits.select("refers_to", "refers_key").dropDuplicates(["refers_to"]).repartitionByRange("refers_key", "refers_to").sortWithinPartitions("refers_key", "refers_to")
-    found = stored(named.mapInArrow(look_up, "refers_to long, payload_bytes long, payload_digest string"))
+    named = stored(revisits.groupBy("refers_to").agg(F.min("refers_key").alias("refers_key")))
+    ordered = named.repartitionByRange(_tasks(named, LOOKUPS), "refers_key", "refers_to").sortWithinPartitions("refers_key", "refers_to")
+    found = stored(map_batches(ordered, look_up, "refers_to long, payload_bytes long, payload_digest string"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return records.where("record_type = 'response'").select(columns).unionAll(revisits.drop("payload_bytes", "payload_digest").join(found, "refers_to").select(columns))
