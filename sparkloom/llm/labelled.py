@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches
 
+#: Most bytes of a text that teaches: what reaches the driver is at most so many for each row of the sample.
+LONGEST = 1 << 18
+
 
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, trainable: Column, sample_rows: int
 ) -> tuple[list[bytes], np.ndarray]:
     """At most sample_rows labelled texts, half for each label, those first by a hash of doc_id.
 
-    The rows are chosen among the labels alone, so the documents are read once and never shuffled:
-    the chosen identifiers, bounded by sample_rows, are broadcast to the scan.
+    The rows are chosen among the labels alone, so the documents are read once and never shuffled: the chosen
+    identifiers, bounded by sample_rows, are broadcast to the scan. Of rows that share a doc_id the smallest text
+    teaches; texts of more than LONGEST bytes do not. The same rows give the same sample, however they are partitioned.
     """
     known = (
         labels.where(trainable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -32,8 +36,10 @@ def labelled_sample(
     )
     rows = (
         documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_t"))
+        .where(F.octet_length("_t") <= LONGEST)
         .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
         .toArrow()
     )
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")

@@ -139,7 +139,7 @@ def score_quality(
 
     documents needs doc_id and text, labels doc_id and quality (0 or 1, null ignored; of several labels for a
     document the largest counts). sample_rows bounds the labelled rows that are used: at most half of it for
-    each label, chosen by a hash of doc_id. Returns doc_id, score and predicted, one row per row of documents.
+    each label, chosen by a hash of doc_id, none longer than labelled.LONGEST bytes. Returns doc_id, score and predicted, one row per row of documents.
     A null or empty text has all statistics zero; without labels every score is 0.5. Other columns are ignored,
     whatever their names. Scoring is one map over the rows without a shuffle.
     """

@@ -2,83 +2,88 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from .common import factors
+from .common import distinct, factors
 from .labelled import labelled_sample, score_documents
 
 BUCKETS = 1 << 18
-ORDERS = (3, 4, 5)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-_FACTORS = factors(max(ORDERS))
+#: Lengths of n-grams taken anywhere in a word, and of those taken only at its start.
+ORDERS, STARTS = (3, 4, 5), (6, 7)
+#: A gram that occurs so often in a text is a feature more, for each of these.
+LEVELS = (2, 4, 8)
+FOLDS = 4
+_SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
+_FACTORS = factors(max(ORDERS + STARTS))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_last: dict[int, np.ndarray] = {}
 
 
 def grams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """Distinct hashed n-grams of the UTF-8 bytes: A-Z lowered, runs of blanks as one, none across a word's both ends."""
-    raw = np.frombuffer(b" " + text.lower() + b" ", np.uint8)
-    blank = _SPACE[raw]
+    """Distinct hashed features of a UTF-8 text: its character n-grams, and each with the levels its count reaches.
+
+    Characters are lowered code points, runs of blanks one blank; a blank may start or end a gram, not stand inside it.
+    """
+    raw = np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (raw <= 32) & np.isin(raw, _SPACES)
     keep = ~blank
     keep[1:] |= ~blank[:-1]
     keep[0] = True
     raw, blank = raw[keep], blank[keep]
     code = np.where(blank, 32, raw).astype(np.uint64)
     inner = np.cumsum(blank, dtype=np.int32)
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
     found, total = [], code * _FACTORS[0]
-    for n in range(2, max(ORDERS) + 1):
+    for n in range(2, max(ORDERS + STARTS) + 1):
         m = len(code) - n + 1
         if m <= 0:
             break
         total = total[:m] + code[n - 1 :] * _FACTORS[n - 1]
+        whole = inner[n - 2 : n - 2 + m] == inner[:m]
         if n in ORDERS:
-            # a blank may start or end a gram, not stand inside it
-            whole = inner[n - 2 : n - 2 + m] == inner[:m]
-            spot = (total[whole] ^ np.uint64(n)) * _SPREAD >> shift
-            found.append(spot.view(np.int64))
+            found.append(total[whole] ^ np.uint64(n))
+        elif n in STARTS:
+            found.append(total[whole & blank[:m]] ^ np.uint64(n))
     if not found:
         return np.zeros(0, np.int64)
-    spots = np.concatenate(found)
-    last = _last.setdefault(buckets, np.zeros(buckets, np.int32))
-    order = np.arange(len(spots), dtype=np.int32)
-    last[spots] = order
-    return spots[last[spots] == order]
+    seen, count = np.unique(np.concatenate(found), return_counts=True)
+    features = [seen, *(seen[count >= k] ^ np.uint64(k << 40) for k in LEVELS)]
+    return distinct(np.concatenate(features) * _SPREAD >> np.uint64(64 - (buckets.bit_length() - 1))).view(np.int64)
 
 
 @dataclass(frozen=True)
 class NaiveBayesLinear:
-    """weights holds, for each bucket, log-count ratio times learned coefficient."""
+    """weights holds, for each bucket, log-count ratio times learned coefficient; slope and shift calibrate the score."""
 
     weights: np.ndarray
     bias: float
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def margin(self, found: np.ndarray) -> float:
+        """The linear score of a text's features, before calibration."""
+        return float(self.bias + self.weights[found].sum() / _length(len(found))) if len(found) else self.bias
 
     def score(self, text: bytes) -> float:
-        found = grams(text, len(self.weights))
-        if not len(found):
-            return float(1 / (1 + np.exp(-self.bias)))
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[found].sum() / _length(len(found)), -30, 30))))
+        return float(_logistic(self.slope * self.margin(grams(text, len(self.weights))) + self.shift))
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _length(n):
-    """Divisor for a text of n distinct grams: short texts count in full, long ones by a slow power."""
+    """Divisor for a text of n distinct features: short texts count in full, long ones by a slow power."""
     return np.maximum(n, 50) ** 0.25
 
 
-def fit(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds: int = 80, penalty: float = 1e-4) -> NaiveBayesLinear:
+def _fitted(rows: list[np.ndarray], y: np.ndarray, buckets: int, rounds: int, penalty: float) -> NaiveBayesLinear:
     """Logistic regression over the ratios by gradient steps with momentum; the same input gives the same model."""
-    rows = [grams(t, buckets) for t in texts]
-    y = np.asarray(labels, np.float64)
-    if not rows or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
+    share = (y.sum() + 1) / (len(y) + 2)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    if not lengths.sum() or y.min() == y.max():
         return NaiveBayesLinear(np.zeros(buckets), float(np.log(share / (1 - share))))
-    lengths = np.array([len(r) for r in rows])
     ids = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), lengths)
     with_label = np.bincount(ids, y[row], buckets)
@@ -94,8 +99,7 @@ def fit(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds:
     # the bias is one more column, so that all have one step size
     ids, row = np.concatenate([ids, np.full(len(y), len(kept))]), np.concatenate([row, np.arange(len(y))])
     value = np.concatenate([value, np.ones(len(y))])
-    share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     weight /= weight.sum()
 
     def forward(v: np.ndarray) -> np.ndarray:
@@ -108,11 +112,10 @@ def fit(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds:
     for _ in range(6):
         probe = back(weight * forward(probe / np.linalg.norm(probe)))
     step = 1 / (0.25 * np.linalg.norm(probe) * 1.1 + penalty)
-    start = np.append(np.full(len(kept), 0.05), 0.0)
+    start = np.append(np.full(len(kept), 0.02), 0.0)
     coef = ahead = start
     for t in range(rounds):
-        z = np.clip(forward(ahead), -30, 30)
-        slope = back((1 / (1 + np.exp(-z)) - y) * weight) + penalty * (ahead - start)
+        slope = back((_logistic(forward(ahead)) - y) * weight) + penalty * (ahead - start)
         new = ahead - step * slope
         coef, ahead = new, new + t / (t + 3) * (new - coef)
     weights = np.zeros(buckets)
@@ -120,6 +123,37 @@ def fit(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds:
     return NaiveBayesLinear(weights, float(coef[-1]))
 
 
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve from margins to labels, by Newton steps; targets are drawn in a little."""
+    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    x, at = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = _logistic(x @ at)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        at = at - np.clip(np.linalg.solve(curve, x.T @ (p - goal)), -1, 1)
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def fit(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds: int = 100, penalty: float = 1e-4) -> NaiveBayesLinear:
+    """A model of all texts, calibrated on the margins that models of the other folds give each fold."""
+    rows = [grams(t, buckets) for t in texts]
+    y = np.asarray(labels, np.float64)
+    if not rows:
+        return NaiveBayesLinear(np.zeros(buckets), 0.0)
+    model = _fitted(rows, y, buckets, rounds, penalty)
+    if min(y.sum(), len(y) - y.sum()) < 2 * FOLDS:
+        return model
+    # each label's rows are dealt out in turn, so that every fold has both
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    z = np.zeros(len(y))
+    for k in range(FOLDS):
+        one = _fitted([r for r, f in zip(rows, fold, strict=True) if f != k], y[fold != k], buckets, rounds, penalty)
+        z[fold == k] = [one.margin(rows[i]) for i in np.flatnonzero(fold == k)]
+    return replace(model, **dict(zip(("slope", "shift"), _calibrated(z, y), strict=True)))
+
+
 def score_toxicity(
     documents: DataFrame, labels: DataFrame, trainable: Column, sample_rows: int = 4000, threshold: float = 0.7
 ) -> DataFrame:
@@ -127,7 +161,7 @@ def score_toxicity(
 
     documents needs doc_id and text, labels doc_id and toxic (0 or 1, null ignored; of several labels for a
     document the largest counts). sample_rows bounds the labelled rows that are used: at most half of it for
-    each label, chosen by a hash of doc_id. Returns doc_id, score and predicted, one row per row of documents.
+    each label, chosen by a hash of doc_id, none longer than labelled.LONGEST bytes. Returns doc_id, score and predicted, one row per row of documents.
     A null or empty text gets the model's score of a text without grams; without labels every score is 0.5.
     Other columns are ignored, whatever their names. Scoring is one map over the rows without a shuffle.
     """
