@@ -168,7 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     as names. A document holds an item if, in one coding, the windows of k words that both have number at least
     least_windows, or least_share of the item's windows if that is less, counting only windows whose slots agree:
     where an item lies against a text, each value of the item's slots is answered by the value that most of its
-    windows there have; windows that have another are not counted, unless all their slots are as in the item. matched
+    windows there have; windows that have another are not counted, unless all their slots are as in the item. Where
+    parts of an item lie apart, the longest part's answers hold for the others too. matched
     counts the distinct item windows found and coverage is their share; reparameterised says that in some counted
     window a slot's value differs.
     text_hash is xxhash64 of the text, which tells rows with one doc_id apart; rows that repeat both count as one.
@@ -188,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     needed = bitmap(items, F.col("hash"), NEED_BITS)
     sizes = sorted((r.coding, r["size"]) for r in items.select("coding", "size").distinct().collect())
     hits = stored(map_batches(text_of(docs, "doc_id"), _window_rows(k, needed, sizes), WINDOW_SCHEMA).drop("n", "size"))
-    sought = small_side(items.select("coding", "hash", F.col("id").alias("item_id"), F.col("rk").alias("item_rk"), F.col("pos").alias("item_pos"), F.col("n").alias("windows"), F.col("slots").alias("item_slots")), 1_000_000)
+    sought = small_side(items.select("coding", "hash", F.col("id").alias("item_id"), F.col("rk").alias("item_rk"), F.col("pos").alias("item_pos"), F.col("n").alias("windows"), F.col("slots").alias("item_slots")))
     met = hits.join(sought, ["coding", "hash"]).withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     group = ["id", "rk", "coding", "item_id", "item_rk"]
     shift = [*group, "shift"]
@@ -200,6 +201,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     # an item's slot value is answered by the document's value that most windows have; of equals by itself, then the largest
     answer = F.max(F.struct("votes", "same", "d")).over(W.partitionBy(*shift, "i"))["d"]
     answered = votes.withColumn("agrees", F.col("d").eqNullSafe(answer))
+    # the shift with most agreeing windows answers for the others: what contradicts it there does not count
+    at_shift, at_window = W.partitionBy(*shift), W.partitionBy(*shift, "item_pos")
+    counted = F.bool_and("agrees").over(at_window) | F.bool_and("same").over(at_window)
+    answered = answered.withColumn("size", F.size(F.collect_set(F.when(counted, F.col("item_pos"))).over(at_shift)))
+    first = F.max(F.struct("size", -F.col("shift"))).over(W.partitionBy(*group)) == F.struct("size", -F.col("shift"))
+    said = F.max(F.when(first & F.col("agrees"), F.struct("d"))).over(W.partitionBy(*group, "i"))
+    answered = answered.withColumn("agrees", F.col("agrees") & (said.isNull() | F.col("d").eqNullSafe(said["d"])))
     kept = answered.groupBy(*shift, "item_pos").agg(F.max("windows").alias("windows"), F.bool_and("agrees").alias("agrees"), F.bool_and("same").alias("same")).where("agrees or same")
     joined = kept.groupBy(*group).agg(
         F.size(F.collect_set("item_pos")).alias("matched"), F.max("windows").alias("windows"), F.max(~F.col("same")).alias("reparameterised")
