@@ -26,13 +26,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.workspace(spark)
     entries = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    top = warc.write_index(entries, folder)
-    return warc.read_archives(spark, folder, entries, top)
+    warc.write_index(entries, folder)
+    return warc.read_archives(folder, entries)
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    added = (F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text")) for i, role in enumerate(("user", "assistant")))
+    more = spark.range(1).select(F.inline(F.array(*added)))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     made = common.stored(chat.best_conversations(chat.linear_messages(rows)))
     turns = chat.turns_of(F.col("formatted"))
@@ -118,12 +119,26 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
                cast(sum(length('### ') + length(replace({_ESCAPED.format("role")}, ':', '\:')) + 2 + length({_ESCAPED.format("text")}) + length('</turn>') + 1) as bigint) as formatted_chars
         from c group by conv_id""",
+    "op4_jaccard": rf"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (
+          select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                 else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as shingle
+          from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_have >= 90 * (x.n + y.n - both_have)),
+        u as (select a, b from e union all select b, a from e),
+        r as (select a, b from u union select r.a, u.b from r join u on r.b = u.a)
+        select w.doc_id, coalesce(any_value(n.n), 0) as n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) as component_id
+        from w left join n on n.doc_id = w.doc_id left join r on r.a = w.doc_id group by w.doc_id""",
     "op7_lines": r"""
         with l as (
           select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos
           from documents where text is not null),
         t as (select doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as bare from l),
-        s as (select bare from t where length(bare) >= 20 group by bare having count(distinct source) >= 8),
+        s as (select bare from t where bare <> '' group by bare
+              having count(distinct source) >= case when len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) >= 50 then 2 else 8 end),
         n as (select t.*, s.bare is not null and row_number() over (partition by t.bare order by t.doc_id, t.pos) > 1 as gone from t left join s on t.bare = s.bare),
         k as (select doc_id, count(*) filter (gone) as removed_lines, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text from n group by doc_id)
         select d.doc_id, coalesce(removed_lines, 0) as removed_lines, length(k.text) as kept_chars, sha256(k.text) as text_sha256
