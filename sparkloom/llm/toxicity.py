@@ -16,6 +16,7 @@ ORDERS, STARTS = (3, 4, 5), (6, 7)
 #: A gram that occurs so often in a text is a feature more, for each of these.
 LEVELS = (2, 4, 8)
 FOLDS = 4
+BLOCK = 1 << 20
 _SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 _FACTORS = factors(max(ORDERS + STARTS))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -84,29 +85,44 @@ def _fitted(rows: list[np.ndarray], y: np.ndarray, buckets: int, rounds: int, pe
     lengths = np.array([len(r) for r in rows], np.int64)
     if not lengths.sum() or y.min() == y.max():
         return NaiveBayesLinear(np.zeros(buckets), float(np.log(share / (1 - share))))
-    ids = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    with_label = np.bincount(ids, y[row], buckets)
-    without = np.bincount(ids, minlength=buckets) - with_label
-    positive, negative = with_label + 1, without + 1
-    ratio = np.log((positive / (y.sum() + 2)) / (negative / (len(y) - y.sum() + 2)))
+    counts = np.zeros((2, buckets), np.int64)
+    for r, label in zip(rows, y, strict=True):
+        counts[int(label), r] += 1  # the features of a row are distinct
+    ratio = np.log(((counts[1] + 1) / (y.sum() + 2)) / ((counts[0] + 1) / (len(y) - y.sum() + 2)))
     # a gram that at most two texts hold, or that both classes use alike, says nothing about other texts
-    ratio[(with_label + without < 3) | (np.abs(ratio) < 0.3)] = 0
-    used = ratio[ids] != 0
-    kept, ids = np.unique(ids[used], return_inverse=True)
-    row = row[used]
-    value = ratio[kept][ids] / _length(lengths)[row]
-    # the bias is one more column, so that all have one step size
-    ids, row = np.concatenate([ids, np.full(len(y), len(kept))]), np.concatenate([row, np.arange(len(y))])
-    value = np.concatenate([value, np.ones(len(y))])
+    ratio[(counts.sum(0) < 3) | (np.abs(ratio) < 0.3)] = 0
+    kept = np.flatnonzero(ratio)
+    place = np.full(buckets, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    short, scale = [], 1 / _length(lengths)
+    for r in rows:
+        at = place[r]
+        short.append(at[at >= 0])
+    ratio = ratio[kept]
+    # rows in blocks of about BLOCK features, so that no array of all of them is made
+    size = np.array([len(x) for x in short])
+    block = np.cumsum(size) // BLOCK
+    blocks = []
+    for k in np.unique(block):
+        of = np.flatnonzero(block == k)
+        blocks.append((of, size[of], np.concatenate([short[i] for i in of])))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     weight /= weight.sum()
 
+    # the bias is one more column, so that all have one step size
     def forward(v: np.ndarray) -> np.ndarray:
-        return np.bincount(row, v[ids] * value, len(y))
+        out, each = np.full(len(y), v[-1]), v[:-1] * ratio
+        for of, n, ids in blocks:
+            ends = np.cumsum(n)
+            sums = np.append(0.0, np.cumsum(each[ids]))
+            out[of] += (sums[ends] - sums[ends - n]) * scale[of]
+        return out
 
     def back(e: np.ndarray) -> np.ndarray:
-        return np.bincount(ids, e[row] * value, len(kept) + 1)
+        out = np.zeros(len(kept))
+        for of, n, ids in blocks:
+            out += np.bincount(ids, np.repeat(e[of] * scale[of], n), len(kept))
+        return np.append(out * ratio, e.sum())
 
     probe = np.ones(len(kept) + 1)
     for _ in range(6):
@@ -119,7 +135,7 @@ def _fitted(rows: list[np.ndarray], y: np.ndarray, buckets: int, rounds: int, pe
         new = ahead - step * slope
         coef, ahead = new, new + t / (t + 3) * (new - coef)
     weights = np.zeros(buckets)
-    weights[kept] = coef[:-1] * ratio[kept]
+    weights[kept] = coef[:-1] * ratio
     return NaiveBayesLinear(weights, float(coef[-1]))
 
 
@@ -136,7 +152,7 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds: int = 100, penalty: float = 1e-4) -> NaiveBayesLinear:
     """A model of all texts, calibrated on the margins that models of the other folds give each fold."""
-    rows = [grams(t, buckets) for t in texts]
+    rows = [grams(t, buckets).astype(np.int32) for t in texts]
     y = np.asarray(labels, np.float64)
     if not rows:
         return NaiveBayesLinear(np.zeros(buckets), 0.0)
