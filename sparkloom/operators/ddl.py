@@ -13,6 +13,7 @@ from ..plans import nodes as N
 from ..plans.emit import Emitter
 from ..plans.lexer import SqlError
 from ..sources.storage import stored
+from .dml import in_order
 
 
 class ConstraintError(SqlError):
@@ -174,6 +175,11 @@ def apply(engine, s: N.Node) -> None:
                 for d in state.definitions.values():
                     d.indexes = tuple(i for i in d.indexes if i.name.lower() != name)
                 continue
+            if s.kind == "TABLE":
+                gone = {".".join(p).lower() for p in s.names}
+                for child, d in state.definitions.items():
+                    if child not in gone and any(".".join(c.table).lower() == name for c in foreign_keys(d)):
+                        raise ConstraintError(f"{child} refers to {name}")
             found = (state.tables if s.kind == "TABLE" else state.views).pop(name, None)
             state.definitions.pop(name, None) if s.kind == "TABLE" else None
             if found is None and not s.if_exists:
@@ -193,6 +199,11 @@ def _rename(engine, old: str, new: str) -> None:
     state.tables.pop(old)
     if old in state.definitions:
         state.definitions[new] = state.definitions.pop(old)
+    parts = tuple(new.split("."))
+    points = lambda table: ".".join(table).lower() == old
+    for child, d in state.definitions.items():  # foreign keys follow
+        columns = tuple(replace(c, references=(parts, *c.references[1:])) if c.references and points(c.references[0]) else c for c in d.columns)
+        state.definitions[child] = replace(d, columns=columns, constraints=tuple(replace(c, table=parts) if points(c.table) else c for c in d.constraints))
 
 
 def _free(engine, name: str, column: str) -> None:
@@ -234,7 +245,10 @@ def _alter(engine, name: str, actions: tuple) -> None:
         if action == "ADD":
             c = args[0]
             value = F.expr(emit.expr(c.default)) if c.default is not None else F.lit(None)
-            rows = stored(rows.withColumn(c.name, value.cast(_type(c.type))))
+            if c.identity:
+                rows = in_order(rows, "n__")
+                value = F.lit(c.identity[0]) + F.col("n__") * c.identity[1]
+            rows = stored(rows.withColumn(c.name, value.cast(_type(c.type))).drop("n__"))
             d = replace(d, columns=(*d.columns, c))
         elif action == "DROP":
             _free(engine, name, args[0])

@@ -13,6 +13,7 @@ from ..plans.lexer import SqlError
 from ..sources.storage import stored
 
 ROW, ORDINAL = "row__", "ordinal__"
+DEFAULT = N.Col(("DEFAULT",))
 
 
 @dataclass
@@ -33,6 +34,14 @@ def apply(engine, s: N.Node, dialect: str) -> Mutation:
     return {N.Insert: _insert, N.Update: _update, N.Delete: _delete, N.Merge: _merge}[type(s)](engine, s, dialect)
 
 
+def _default(engine, s: N.Node, column: str) -> N.Node:
+    """What DEFAULT stands for in a column of the statement's table."""
+    from . import ddl
+
+    default = engine.state.definitions.get(target(s), ddl.Definition()).default(column)
+    return default if default is not None else N.Lit(None)
+
+
 def _image(columns: list[str], prefix: str, name: str) -> Column:
     return F.struct(*(F.col(prefix + c).alias(c) for c in columns)).alias(name)
 
@@ -121,7 +130,7 @@ def _new_rows(engine, s: N.Insert, table: DataFrame, dialect: str) -> DataFrame:
         emit = engine.emitter(s.rows, dialect)
 
         def value(x: N.Node, column: str) -> str:
-            if x == N.Col(("DEFAULT",)):
+            if x == DEFAULT:
                 default = definition.default(column)
                 return f"CAST({emit.expr(default) if default is not None else 'NULL'} AS {table.schema[column].dataType.simpleString()})"
             return f"CAST({emit.expr(x)} AS {table.schema[column].dataType.simpleString()})"
@@ -224,6 +233,7 @@ def _update(engine, s: N.Update, dialect: str) -> Mutation:
     columns = table.columns
     emit = engine.emitter((s.sets, s.where), dialect)
     by_name = {c.lower(): c for c in columns}
+    s = replace(s, sets=tuple((c, _default(engine, s, c) if v == DEFAULT else v) for c, v in s.sets))
     if unknown := [c for c, _ in s.sets if c.lower() not in by_name]:
         raise SqlError(f"no column {unknown[0]} in {target(s)}")
     label = quoted(s.table.alias or s.table.parts[-1])
@@ -258,6 +268,21 @@ def _delete(engine, s: N.Delete, dialect: str) -> Mutation:
     return Mutation(kept, changes, _output(changes, s.returning, "deleted", dialect))
 
 
+def _with_identity(engine, s: N.Merge, images: DataFrame, table: DataFrame) -> DataFrame:
+    """images with generated numbers in the rows that are inserted, where no value is given."""
+    from . import ddl
+
+    definition = engine.state.definitions.get(target(s), ddl.Definition())
+    for c in table.columns:
+        if step := definition.identity(c):
+            new = (F.col("act__") == "INSERT") & F.col(f"n_{c}").isNull()
+            top = table.agg(F.max(c)).first()[0]
+            engine.last_insert_id = first = step[0] if top is None else top + step[1]
+            made = in_order(images.where(new), ORDINAL).withColumn(f"n_{c}", (F.lit(first) + F.col(ORDINAL) * step[1]).cast(table.schema[c].dataType)).drop(ORDINAL)
+            images = stored(images.where(~new).unionByName(made))
+    return images
+
+
 def _merge(engine, s: N.Merge, dialect: str) -> Mutation:
     """A full join; of each joined row the first WHEN whose kind and condition hold decides."""
     table = engine.table(target(s))
@@ -277,9 +302,9 @@ def _merge(engine, s: N.Merge, dialect: str) -> Mutation:
             values = dict(zip((x.lower() for x in (w.columns or (columns if w.action == "INSERT" else ()))), w.values, strict=True))
             if c.lower() in values:
                 v = values[c.lower()]
-                cases += f" WHEN {i} THEN {'NULL' if v == N.Col(('DEFAULT',)) else emit.expr(v)}"
+                cases += f" WHEN {i} THEN {emit.expr(_default(engine, s, c) if v == DEFAULT else v)}"
             elif w.action == "INSERT":
-                cases += f" WHEN {i} THEN NULL"
+                cases += f" WHEN {i} THEN {emit.expr(_default(engine, s, c))}"
         cases = f"CASE {choice}{cases} ELSE {label}.{quoted(c)} END" if cases else f"{label}.{quoted(c)}"
         items.append(f"CAST({cases} AS {table.schema[c].dataType.simpleString()}) AS {quoted('n_' + c)}")
     source = emit.table(replace(s.source, alias="src__"))
@@ -290,7 +315,7 @@ def _merge(engine, s: N.Merge, dialect: str) -> Mutation:
     if not changing.groupBy(ROW).count().where("count > 1").isEmpty():
         raise SqlError("a row of the target is matched by several rows of the source")
     action = F.coalesce(*(F.when(F.col("when__") == i, a) for i, a in acts.items()), F.lit("KEEP")) if acts else F.lit("KEEP")
-    images = images.withColumn("act__", action)
+    images = _with_identity(engine, s, images.withColumn("act__", action), table)
     # rows of the source that no WHEN takes vanish; a target row met by several rows, none taken, stays once
     idle = images.where(f"act__ = 'KEEP' and {ROW} is not null").dropDuplicates([ROW]).join(changing.select(ROW).distinct(), ROW, "left_anti")
     after = images.where("act__ in ('UPDATE', 'INSERT')").select(*(F.col(f"n_{c}").alias(c) for c in columns)).unionByName(idle.select(*(F.col(f"o_{c}").alias(c) for c in columns)))

@@ -114,6 +114,48 @@ def test_actions_on_null_and_default(spark):
     assert e.table("x").columns == ["k"] and e.table("x").count() == 4
 
 
+def test_defaults_and_numbers_in_merge_update_and_alter(spark):
+    e = Engine(spark).register("s", spark.createDataFrame([(1, "x"), (7, "y"), (8, "z")], "k int, v string"))
+    e.script("CREATE TABLE t (id INT AUTO_INCREMENT, k INT, v TEXT DEFAULT 'new', w INT DEFAULT 4); INSERT INTO t (k, v, w) VALUES (1, 'a', 0)")
+    e.sql("MERGE INTO t USING s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (k, w) VALUES (s.k, DEFAULT)")
+    assert sorted(tuple(r)[1:] for r in rows(e.table("t"))) == [(1, "x", 0), (7, "new", 4), (8, "new", 4)] and sorted(r[0] for r in rows(e.table("t"))) == [1, 2, 3]
+    e.sql("UPDATE t SET v = DEFAULT, w = DEFAULT WHERE k = 1")
+    assert rows(e.sql("SELECT v, w FROM t WHERE k = 1")) == [("new", 4)]
+    e.sql("ALTER TABLE t ADD COLUMN n INT IDENTITY(10, 10)")
+    assert sorted(r.n for r in e.table("t").collect()) == [10, 20, 30]
+
+
+def test_tables_that_others_refer_to(spark):
+    e = Engine(spark)
+    e.script("CREATE TABLE p (k INT PRIMARY KEY); CREATE TABLE c (k INT REFERENCES p (k) ON DELETE CASCADE); INSERT INTO p VALUES (1), (2); INSERT INTO c VALUES (1), (2)")
+    with pytest.raises(ConstraintError):
+        e.sql("DROP TABLE p")
+    e.script("RENAME TABLE p TO q; DELETE FROM q WHERE k = 1")
+    assert rows(e.table("c")) == [(2,)]
+    with pytest.raises(ConstraintError):
+        e.sql("INSERT INTO c VALUES (9)")
+    e.sql("DROP TABLE c, q")
+
+
+@pytest.mark.parametrize(
+    ("text", "dialect", "want"),
+    [
+        ("SELECT 7 / 2 AS x, 7 / 2 * 2 AS y, -7 / 2 AS z, 7.0 / 2 AS d", "postgresql", [3, 6, -3, 3.5]),
+        ("SELECT 7 / 2 AS x, 'a' + 'b' AS s, 1 + 2 AS n, 'a' + NULL AS o", "sqlserver", [3, "ab", 3, None]),
+        ("SELECT 7 / 2 AS x", "mysql", [3.5]),
+        ("WITH c AS (SELECT 9 AS k) SELECT k / 2 AS x, (SELECT MAX(d.k / 4) FROM c d) AS y FROM c WHERE k / 4 = 2", "postgresql", [4, 2]),
+        ("SELECT (SELECT MAX(r.k / 2) FROM (SELECT 5 AS k) r WHERE r.k / 5 = o.k / 7) AS y FROM (SELECT 9 AS k) o", "postgresql", [2]),
+        ("SELECT CAST(7 / 2 AS VARCHAR(9)) AS s, SUM(7) / 2 AS n, 7 / CAST(2 AS BIGINT) AS b", "sqlserver", ["3", 3, 3]),
+        ("SELECT COUNT(*) AS n FROM (SELECT 1 AS a) x JOIN (SELECT 3 AS b) y ON y.b / 2 = x.a", "sqlserver", [1]),
+        ("SELECT '{\"a\":[1,2,{\"b\":[3]}]}' @> '{\"a\":[{\"b\":[3]},2]}' AS x, '[1,[2]]' @> '[[2]]' AS y, '{\"a\":1}' @> '{}' AS z, '[]' @> '{}' AS w", "postgresql", [True, True, True, False]),
+        ("SELECT 'a_b' LIKE 'a!_b' ESCAPE '!' AS x, 'axb' LIKE 'a!_b' ESCAPE '!' AS y, 'a\\b' LIKE 'a\\b' AS z", "ansi", [True, False, True]),
+        ("SELECT 'a%' LIKE 'a\\%' AS x, 'ab' LIKE 'a\\%' AS y, 'ab' LIKE 'a\\b' AS z", "postgresql", [True, False, True]),
+    ],
+)
+def test_expressions(spark, text, dialect, want):
+    assert [float(x) if hasattr(x, "quantize") else x for x in rows(Engine(spark).sql(text, dialect))[0]] == want
+
+
 def test_many_changes(spark):
     """Tables are written after some changes, and rows come out as if they were not."""
     e = Engine(spark)
