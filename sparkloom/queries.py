@@ -276,11 +276,11 @@ _UNITS = {"MICROSECOND": ("7", "7 MICROSECOND"), "SECOND": ("70", "70 SECOND"),
 add("mysql_interval_units", f"SELECT o_orderkey, {', '.join(f'DATE_ADD(o_orderdate, INTERVAL {v} {u}) AS u{i}' for i, (u, (v, _)) in enumerate(_UNITS.items()))} FROM orders", f"SELECT o_orderkey, {', '.join(f'o_orderdate + INTERVAL ({w.split()[0]}) {w.split()[1]} AS u{i}' for i, (_, w) in enumerate(_UNITS.values()))} FROM orders", "mysql")
 
 # arrays and JSON, by type and in lists
-add("pg_array_slice_bounds", "SELECT n_nationkey, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[0:2]) AS a, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[2:]) AS b, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[:1]) AS c, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[3:9]) AS d, CONCAT_WS(',', (ARRAY[n_nationkey, 3])[-4:-1]) AS e, (ARRAY[n_nationkey])[0] AS f FROM nation", "SELECT n_nationkey, concat_ws(',', n_nationkey, n_regionkey) AS a, concat_ws(',', n_regionkey, 3) AS b, CAST(n_nationkey AS VARCHAR) AS c, '3' AS d, '' AS e, NULL AS f FROM nation", "postgresql")
+add("pg_array_slice_bounds", "SELECT n_nationkey, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[0:2]) AS a, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[2:]) AS b, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[:1]) AS c, CONCAT_WS(',', (ARRAY[n_nationkey, n_regionkey, 3])[3:9]) AS d, CONCAT_WS(',', (ARRAY[n_nationkey, 3])[-4:-1]) AS e, (ARRAY[n_nationkey])[0] AS f FROM nation", "SELECT n_nationkey, concat_ws(',', n_nationkey, n_regionkey) AS a, concat_ws(',', n_regionkey, 3) AS b, CAST(n_nationkey AS VARCHAR) AS c, '3' AS d, '' AS e, CAST(NULL AS BIGINT) AS f FROM nation", "postgresql")
 add("pg_json_chain", """SELECT n_nationkey, CONCAT('{"a":{"b":[', n_nationkey, ',"', n_name, '"]}}') -> 'a' -> 'b' ->> 1 AS v, CONCAT('{"a":{"b":', n_regionkey, '}}') #> '{a,b}' AS w FROM nation""", "SELECT n_nationkey, n_name AS v, CAST(n_regionkey AS VARCHAR) AS w FROM nation", "postgresql")
 _DOC = """CONCAT('{"k":[', n_nationkey, ',{"r":', n_regionkey, ',"s":"', n_regionkey, '"}],"f":', n_regionkey, '.0,"b":', CASE WHEN n_nationkey < 9 THEN 'true' ELSE 'null' END, '}')"""
 add("pg_json_contains_by_type", f"""SELECT n_nationkey, {_DOC} @> '{{"k":[{{"r":2}}]}}' AS a, {_DOC} @> '{{"k":[{{"r":"2"}}]}}' AS b, {_DOC} @> '{{"k":[{{"s":"2"}},7]}}' AS c, {_DOC} @> '{{"f":2}}' AS d, {_DOC} @> '{{"b":true}}' AS e, {_DOC} @> '{{"b":null}}' AS f, '{{"f":3.00}}' <@ {_DOC} AS g, {_DOC} @> '{{"k":{{}}}}' AS h, ({_DOC} -> 'k') @> '7' AS i FROM nation""", "SELECT n_nationkey, n_regionkey = 2 AS a, false AS b, n_regionkey = 2 AND n_nationkey = 7 AS c, n_regionkey = 2 AS d, n_nationkey < 9 AS e, n_nationkey >= 9 AS f, n_regionkey = 3 AS g, false AS h, n_nationkey = 7 AS i FROM nation", "postgresql")
-add("pg_json_keys_in_lists", """SELECT n_nationkey, CONCAT('["', n_name, '","x",5]') ? 'CHINA' AS a, CONCAT('["', n_name, '","x",5]') ?| ARRAY['CHINA', 'JAPAN'] AS b, CONCAT('["', n_name, '","x",5]') ?& ARRAY['CHINA', 'x'] AS c, CONCAT('{"', n_name, '":1}') ? 'CHINA' AS d, '[5]' ? '5' AS e, '"t"' ? 't' AS f, NULLIF('[]', '[]') ? 'a' AS g FROM nation""", "SELECT n_nationkey, n_name = 'CHINA' AS a, n_name IN ('CHINA', 'JAPAN') AS b, n_name = 'CHINA' AS c, n_name = 'CHINA' AS d, false AS e, true AS f, NULL AS g FROM nation", "postgresql")
+add("pg_json_keys_in_lists", """SELECT n_nationkey, CONCAT('["', n_name, '","x",5]') ? 'CHINA' AS a, CONCAT('["', n_name, '","x",5]') ?| ARRAY['CHINA', 'JAPAN'] AS b, CONCAT('["', n_name, '","x",5]') ?& ARRAY['CHINA', 'x'] AS c, CONCAT('{"', n_name, '":1}') ? 'CHINA' AS d, '[5]' ? '5' AS e, '"t"' ? 't' AS f, NULLIF('[]', '[]') ? 'a' AS g FROM nation""", "SELECT n_nationkey, n_name = 'CHINA' AS a, n_name IN ('CHINA', 'JAPAN') AS b, n_name = 'CHINA' AS c, n_name = 'CHINA' AS d, false AS e, true AS f, CAST(NULL AS BOOLEAN) AS g FROM nation", "postgresql")
 
 # TOP below the outermost SELECT, GROUPS over joins and groups
 add("top_ties_nested", "SELECT COUNT(*) AS n, MIN(t.p_size) AS least FROM (SELECT TOP 10 WITH TIES p_partkey, p_size FROM part ORDER BY p_size DESC) t", "SELECT COUNT(*) AS n, MIN(p_size) AS least FROM (SELECT p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 10", "sqlserver")
