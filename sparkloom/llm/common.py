@@ -121,6 +121,14 @@ def _segment_hashes(raw: np.ndarray) -> np.ndarray:
     return mixed(sums * down[start])
 
 
+def piece_hashes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes between neighbouring ends, as word_hashes gives a word; 0 of an empty run."""
+    up, down = _raised(max(len(raw) + 1, 4096))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]])
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
     """64-bit hash of each run of bytes other than blanks, A-Z lowered, in order.
 

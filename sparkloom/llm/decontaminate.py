@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import bitmap, in_bitmap, map_batches, mixed, small_side, stored, windows
+from .common import SEGMENT, bitmap, in_bitmap, map_batches, mixed, piece_hashes, small_side, stored, windows
 
 NEED_BITS = 26
 LITERAL, NUMBER, NAME, UNIT, EMPTY = range(5)
@@ -26,7 +26,10 @@ UNIT_WORDS = (
     "months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh watt watts volt volts"
 ).split()
 # end of fixed values
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(st|nd|rd|th|%)?", re.ASCII)
+_NUMBER = r"^[+-]?[$€£]?[0-9][0-9.,:/]*(st|nd|rd|th|%)?$"
+_NUMBERS, _UNITS = pa.array(NUMBER_WORDS), pa.array(UNIT_WORDS)
+#: Words of more bytes are hashed one by one.
+LONG = 1 << 16
 _EDGES = "!\"#%&'()*,./:;<=>?@[\\]^_`{|}~-"
 _CODES = mixed(np.arange(1, 4, dtype=np.uint64))
 #: The coding of words as written, beside 0 and 1, and what keeps its hashes apart from theirs.
@@ -34,125 +37,164 @@ WRITTEN = 2
 _SALT = 0x9E3779B97F4A7C14
 
 
-class Tokens(dict):
-    """Raw words to rows of four arrays: kind, code with numbers masked, code with names masked too, code as written (lower case)."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.kind = np.zeros(1024, np.int8)
-        self.plain, self.masked, self.written = (np.zeros(1024, np.uint64) for _ in range(3))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.kind):
-            self.kind, self.plain, self.masked, self.written = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.plain, self.masked, self.written))
-        core = word.strip(_EDGES)
-        low = core.lower()
-        code = np.uint64(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.written[at] = code
-        if not core:
-            kind = EMPTY
-        elif low in _NUMBERS or _NUMBER.fullmatch(core):
-            kind, code = NUMBER, _CODES[0]
-        elif low in _UNITS:
-            kind = UNIT
-        elif len(core) > 1 and core[0].isupper() and core[1:].islower():
-            kind = NAME
-        else:
-            kind = LITERAL
-        self.kind[at], self.plain[at] = kind, code
-        self.masked[at] = _CODES[1] if kind == NAME else code
-        self[word] = at
-        return at
+class Words:
+    """The words of a batch of texts, bare punctuation left out: rows names each one's distinct word, text its text's number.
+
+    For each distinct word low has it in lower case without punctuation at its ends, kind what it is, and three arrays its
+    codes: with numbers masked, with names masked too, and as written. Distinct words are worked on all at once.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        try:
+            strings = texts.cast(pa.string())
+        except pa.ArrowInvalid:  # not all UTF-8
+            strings = pa.array([x and x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+        words = pc.utf8_split_whitespace(pc.fill_null(strings, ""))
+        found = pc.dictionary_encode(words.flatten())
+        core = pc.utf8_trim(found.dictionary, _EDGES)
+        self.low = pc.utf8_lower(core)
+        self.written = _text_hashes(self.low)
+        rest = pc.utf8_slice_codeunits(core, 1)
+        name = _mask(pc.and_(pc.utf8_is_upper(pc.utf8_slice_codeunits(core, 0, 1)), pc.utf8_is_lower(rest)))
+        digit = np.flatnonzero(_mask(pc.match_substring_regex(core, "[0-9]")))
+        number = _mask(pc.is_in(self.low, _NUMBERS))
+        number[digit] |= _mask(pc.match_substring_regex(core.take(pa.array(digit)), _NUMBER))
+        self.kind = np.select([_mask(pc.equal(core, "")), number, _mask(pc.is_in(self.low, _UNITS)), name], [EMPTY, NUMBER, UNIT, NAME], LITERAL)
+        self.plain = np.where(number, _CODES[0], self.written)
+        self.masked = np.where(self.kind == NAME, _CODES[1], self.plain)
+        rows = found.indices.to_numpy()
+        text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        solid = self.kind[rows] != EMPTY
+        self.rows, self.text = rows[solid], text[solid]
 
-    def template(self, text: str) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-        """The words without bare punctuation, and for each coding the words' codes and which are slots.
+    def codings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each coding the words' codes and which are slots; a unit word is one after a number only.
 
-        A unit word is a slot after a number only. The last coding, as written, has no slots.
+        The last coding, as written, has no slots.
         """
-        if len(self) > 500_000:
-            self.clear()
-        words = text.split()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        kind = self.kind[rows]
-        solid = kind != EMPTY
-        if not solid.all():
-            words = [w for w, s in zip(words, solid, strict=True) if s]
-            rows, kind = rows[solid], kind[solid]
-        unit = np.zeros(len(rows), bool)
-        if len(rows):
-            unit[1:] = (kind[1:] == UNIT) & (kind[:-1] == NUMBER)
-        number = kind == NUMBER
-        out = [(np.where(unit, _CODES[2], codes), slot) for codes, slot in ((self.plain[rows], number | unit), (self.masked[rows], number | unit | (kind == NAME)))]
-        return words, [*out, (self.written[rows], np.zeros(len(rows), bool))]
-
-
-def _hashes(codes: np.ndarray, slot: np.ndarray, size: int, coding: int, k: int) -> np.ndarray:
-    """Hash of each window of size words; 0 where fewer than 3 words, or k - 2 if that is less, are literal: it says too little.
-
-    Words as written say enough whatever they are.
+        kind = self.kind[self.rows]
+        number, unit = kind == NUMBER, np.zeros(len(kind), bool)
+        unit[1:] = (kind[1:] == UNIT) & number[:-1] & (self.text[1:] == self.text[:-1])
+        slots = number | unit
+        out = [(np.where(unit, _CODES[2], codes[self.rows]), slot) for codes, slot in ((self.plain, slots), (self.masked, slots | (kind == NAME)))]
+        return [*out, (self.written[self.rows], np.zeros(len(kind), bool))]
+
+    def slots(self, slot: np.ndarray, at: int, size: int) -> list[str]:
+        """The slots among size words from at, in order."""
+        return [self.low[int(self.rows[at + x])].as_py() for x in np.flatnonzero(slot[at : at + size])]
+
+
+def _mask(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _text_hashes(texts: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each text, by differences of running sums over segments; of long ones one by one."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    out = np.zeros(len(texts), np.uint64)
+    if not len(texts) or ends[0] == ends[-1]:
+        return out
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)
+    long = np.diff(ends) > LONG
+    at = 0
+    while at < len(texts):
+        to = at + 1 if long[at] else int(np.searchsorted(ends, ends[at] + SEGMENT, "right")) - 1
+        if long[at]:
+            out[at] = xxhash.xxh3_64_intdigest(raw[ends[at] : ends[to]].tobytes())
+        else:
+            to = min(max(to, at + 1), at + int(np.argmax(long[at:])) if long[at:].any() else len(texts))
+            out[at:to] = piece_hashes(raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        at = to
+    return out
+
+
+def _hashes(codes: np.ndarray, slot: np.ndarray, text: np.ndarray, size: int, coding: int, k: int) -> np.ndarray:
+    """Hash of each window of size words within a text, 0 elsewhere; 0 also where fewer than 3 words, or k - 2 if that is less,
+    are literal: it says too little. Words as written say enough whatever they are.
     """
+    if len(codes) < size:
+        return np.zeros(0, np.uint64)
     found = windows(codes, size) | np.uint64(1)
     if coding == WRITTEN:
-        return found ^ np.uint64(_SALT)
-    literal = np.convolve((~slot).astype(np.int64), np.ones(size, np.int64), "valid")
-    found[literal < min(3, k - 2)] = 0
+        found ^= np.uint64(_SALT)
+    else:
+        before = np.concatenate([[0], np.cumsum(~slot)])
+        found[before[size:] - before[:-size] < min(3, k - 2)] = 0
+    found[text[size - 1 :] != text[: len(found)]] = 0
     return found
 
 
-_NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
+COLUMNS = {"id": pa.int64(), "rk": pa.int64(), "coding": pa.int32(), "hash": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "size": pa.int32(), "slots": pa.list_(pa.string())}
+
 
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.values(), strict=True)], names=list(COLUMNS))
 
-def _window_rows(k: int, needed: np.ndarray | None, sought: list[tuple[int, int]] = ()):
-    """id, rk, coding, hash, pos, n, size and slots of the windows of each text; with needed only of those that may be sought.
 
-    Without needed, of items: the windows of k words, or of a shorter item's whole; as written only of an item that
-    the first coding does not say all of, having a window of too few literals or a unit word in front. With needed, of
-    documents: the windows of the codings and sizes in sought; of those under k words, equal ones once a text.
-    slots holds the slots of a window as offset and lower-case word, in order.
+def _row_key(raw: bytes) -> int:
+    return np.uint64(xxhash.xxh64_intdigest(raw, seed=42)).astype(np.int64).item()
+
+
+def _item_rows(k: int):
+    """id, rk, coding, hash, pos, n, size and slots of the windows of k words of each item, or of a shorter item's whole.
+
+    As written only of an item that the first coding does not say all of, having a window of too few literals or a unit
+    word in front. n is the number of an item's windows in the coding; slots holds the slots of a window as lower-case
+    words, in order.
     """
-    names = ["id", "rk", "coding", "hash", "pos", "n", "size", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for batch in batches:
-            rows: list[tuple] = []
-            ids = batch.column(0).to_pylist()
-            for i, raw in zip(ids, batch.column(1).to_pylist(), strict=True):
-                if not raw:
-                    continue
-                words, codings = tokens.template(raw.decode("utf-8", "replace"))
-                if not words:
+            out: list[tuple] = []
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = Words(pa.array([raw], pa.binary()))
+                if not len(words.rows):
                     continue
-                rk = None
-                if needed is None:
-                    whole = (_hashes(*codings[0], min(len(words), k), 0, k) != 0).all() and words[0].strip(_EDGES).lower() not in _UNITS
-                    wanted_of = [(coding, min(len(words), k)) for coding in range(2 if whole else 3)]
-                else:
-                    wanted_of = [x for x in sought if x[1] <= len(words)]
-                for coding, size in wanted_of:
-                    codes, slot = codings[coding]
-                    found = _hashes(codes, slot, size, coding, k)
-                    wanted = found != 0
-                    if needed is not None:
-                        wanted &= in_bitmap(needed, found)
-                    spots = np.flatnonzero(wanted)
-                    if len(spots) and rk is None:
-                        rk = np.uint64(xxhash.xxh64_intdigest(raw, seed=42)).astype(np.int64).item()
-                    seen = set()
-                    for at in spots.tolist():
-                        inner = np.flatnonzero(slot[at : at + size]).tolist()
-                        slots = [words[at + x].strip(_EDGES).lower() for x in inner]
-                        if needed is not None and size < k:
-                            once = (found[at].item(), *slots)
-                            if once in seen:
-                                continue
-                            seen.add(once)
-                        rows.append((i, rk, coding, found[at].astype(np.int64).item(), at, int((found != 0).sum()), size, slots))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                size, rk, coded = min(len(words.rows), k), _row_key(raw), words.codings()
+                hashes = [_hashes(codes, slot, words.text, size, coding, k) for coding, (codes, slot) in enumerate(coded)]
+                whole = (hashes[0] != 0).all() and words.kind[words.rows[0]] != UNIT
+                for coding in range(2 if whole else 3):
+                    found, slot = hashes[coding], coded[coding][1]
+                    for pos in np.flatnonzero(found).tolist():
+                        out.append((i, rk, coding, found[pos].astype(np.int64).item(), pos, int((found != 0).sum()), size, words.slots(slot, pos, size)))
+            if out:
+                yield _batch_of(out)
+
+    return run
+
+
+def _document_rows(k: int, needed: np.ndarray, sought: list[tuple[int, int]]):
+    """The same for the windows of documents that may be sought: those of the codings and sizes in sought whose hash is in needed.
+
+    A batch's words are coded and hashed together. Of windows under k words, equal ones come once a text; n is 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            words = Words(batch.column(1))
+            coded = words.codings()
+            starts = np.searchsorted(words.text, np.arange(batch.num_rows))
+            keys: dict[int, tuple] = {}
+            for coding, size in sought:
+                codes, slot = coded[coding]
+                found = _hashes(codes, slot, words.text, size, coding, k)
+                spots = np.flatnonzero(found)
+                spots = spots[in_bitmap(needed, found[spots])]
+                seen = set()
+                for at in spots.tolist():
+                    i = int(words.text[at])
+                    if i not in keys:
+                        keys[i] = batch.column(0)[i].as_py(), _row_key(batch.column(1)[i].as_py())
+                    slots = words.slots(slot, at, size)
+                    if size < k:
+                        once = (i, found[at].item(), *slots)
+                        if once in seen:
+                            continue
+                        seen.add(once)
+                    out.append((*keys[i], coding, found[at].astype(np.int64).item(), int(at - starts[i]), 0, size, slots))
+            if out:
+                yield _batch_of(out)
 
     return run
 
@@ -185,10 +227,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least_window
     def text_of(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
-    items = stored(map_batches(text_of(benchmark, "item_id"), _window_rows(k, None), WINDOW_SCHEMA))
+    items = stored(map_batches(text_of(benchmark, "item_id"), _item_rows(k), WINDOW_SCHEMA))
     needed = bitmap(items, F.col("hash"), NEED_BITS)
     sizes = sorted((r.coding, r["size"]) for r in items.select("coding", "size").distinct().collect())
-    hits = stored(map_batches(text_of(docs, "doc_id"), _window_rows(k, needed, sizes), WINDOW_SCHEMA).drop("n", "size"))
+    hits = stored(map_batches(text_of(docs, "doc_id"), _document_rows(k, needed, sizes), WINDOW_SCHEMA).drop("n", "size"))
     sought = small_side(items.select("coding", "hash", F.col("id").alias("item_id"), F.col("rk").alias("item_rk"), F.col("pos").alias("item_pos"), F.col("n").alias("windows"), F.col("slots").alias("item_slots")))
     met = hits.join(sought, ["coding", "hash"]).withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     group = ["id", "rk", "coding", "item_id", "item_rk"]

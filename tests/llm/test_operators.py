@@ -544,6 +544,24 @@ def leaks_by_hand(docs, items, k=5, least=9, share=0.5):
     return out
 
 
+def test_words_of_a_batch():
+    """Blanks of all kinds, words that are not UTF-8, very long words, and the same hash whatever stands around."""
+    import pyarrow as pa
+
+    texts = ["  a\u00a0B!\x1cC\x85 ", None, "", "Über straße ÉCOLE-", "x" * 200_000 + " " + "y " * 900_000 + "a", "-- 12kg 3,5% $7 seven Kg 5th 5thx é"]
+    words = decontaminate.Words(pa.array([t and t.encode() for t in texts] + [b"a \xff\xfe b"], pa.binary()))
+    low = [words.low[int(r)].as_py() for r in words.rows]
+    want = [(i, w.strip(decontaminate._EDGES).lower()) for i, t in enumerate([*texts, "a \ufffd\ufffd b"]) if t for w in t.split()]
+    want = [(i, w) for i, w in want if w]
+    assert list(zip(words.text.tolist(), low)) == want
+    kinds = dict(zip(low, words.kind[words.rows].tolist()))
+    number, unit, name, word = decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME, decontaminate.LITERAL
+    assert [kinds[w] for w in ("12kg", "3,5", "$7", "seven", "kg", "5th", "5thx", "é", "über", "école", "straße")] == [word, number, number, number, unit, number, word, word, name, word, word]
+    alone = decontaminate.Words(pa.array([b"A"], pa.binary()))
+    codes = words.written[words.rows]
+    assert {int(c) for c, w in zip(codes, low) if w == "a"} == {int(alone.written[0])} and len(set(codes.tolist())) == len(set(low))
+
+
 def test_leaks_against_plain_loops(spark):
     """Items of the sample with names, numbers and units put in, planted whole, in parts and changed at random."""
     rng = np.random.default_rng(23)
