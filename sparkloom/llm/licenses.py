@@ -5,11 +5,12 @@ from __future__ import annotations
 import csv
 import hashlib
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, small_side, stored
 from .exact import ascii_lower
 
 # Published licence texts and notices, and one-line statements of a licence (see TEXTS).
@@ -93,20 +94,36 @@ SPELLINGS = (
 # end of fixed values
 
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_NEEDS = ("copyright", "(c)", "©", "all rights reserved")
+#: Of each spelling in turn, texts of which one must occur for it to apply.
+NEEDED = (("licenc",), ("copyright owner",), ("commercial",), ("infringement",), ("organis", "authoris", "recognis"), ("judgement", "acknowledgement"), ("https",))
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case (A-Z), copyright lines gone, runs of ASCII punctuation and blanks as one space, spellings united."""
-    text = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "$1")
-    text = F.regexp_replace(text, PUNCTUATION, " ")
-    for pattern, to in SPELLINGS:
-        text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+def _spelled(texts: Column) -> Column:
+    """An array of texts with their spellings united; a pattern is tried only where what it needs occurs."""
+    for (pattern, to), needed in zip(SPELLINGS, NEEDED, strict=True):
+        texts = F.transform(texts, lambda x: F.when(_any(x, needed), F.regexp_replace(x, pattern, to)).otherwise(x))  # noqa: B023  called at once
+    return texts
+
+
+def _any(text: Column, needed: tuple) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(n)) for n in needed))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in lower case (A-Z), copyright lines and blank ones gone, runs of ASCII punctuation and blanks as one space.
+
+    Joined by spaces, and with spellings united, they are the text's canonical form; see canonical_text.
+    """
+    lines = F.transform(F.split(text, "\n"), ascii_lower)
+    lines = F.transform(lines, lambda x: F.when(_any(x, COPYRIGHT_NEEDS), F.regexp_replace(x, COPYRIGHT_LINE, "$1")).otherwise(x))
+    lines = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, PUNCTUATION, " ")))
+    return F.filter(lines, lambda x: x != "")
 
 
 def canonical_text(text: str) -> str:
-    """The same for one text in Python; used for the known licences."""
+    """The canonical form of one text in Python; used for the known licences."""
     text = text.translate(str.maketrans(UPPER, LOWER))
     text = re.sub(COPYRIGHT_LINE, r"\1", text, flags=re.ASCII)
     text = re.sub(PUNCTUATION, " ", text)
@@ -134,30 +151,30 @@ def scan_licenses(docs: DataFrame, texts=TEXTS, digests=DIGESTS) -> DataFrame:
     """doc_id, canonical_sha256, license_id and notices for every row of docs (doc_id, text; others are ignored).
 
     license_id names the known licence whose canonical text is the whole of the document's, or is null; notices
-    lists, sorted and without repeats, the licences whose canonical text is one line of the document. Null and
-    blank texts have the digest of the empty text and match nothing. Repeated rows stay. The known digests come
-    from texts and digests, tables in code, so their broadcast is bounded by them; documents are read once and not shuffled.
+    lists, sorted and without repeats, the licences whose canonical text is one line of the document. Both come from
+    one hash join of digests each with the known ones, tables in code, so that their broadcast is bounded by them. Null
+    and blank texts have the digest of the empty text and match nothing. Repeated rows stay. An empty table gives no
+    rows. Documents are read once; written are digests, of the whole text and of those lines whose length is that
+    of a known text. No text is shuffled.
     """
     known = known_digests(texts, digests)
     known.pop(hashlib.sha256(b"").hexdigest(), None)
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(known.items()) or [("", "")], "canonical_sha256 string, license_id string"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    by_line = [x for name in known.items() for x in (F.lit(name[0]), F.lit(name[1]))]
-    lookup = F.create_map(*by_line) if by_line else F.create_map(F.lit(""), F.lit(""))
-    lengths = [*(len(canonical_text(t)) for _, t in texts), *(n for *_, n in digests)] or [0]
-    # a canonical form is at most a fifteenth longer than its line, so much shorter lines match none
-    hits = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= min(lengths) // 2), lambda x: canonical(x))
+    pairs = [F.struct(F.lit(d).alias("digest"), F.lit(name).alias("license_id")) for d, name in (known or {"": ""}).items()]
+    table = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*pairs))))
+    lengths = sorted({len(canonical_text(t)) for _, t in texts} | {n for *_, n in digests}) or [0]
+    # uniting spellings adds at most one character to fifteen and takes at most one of five
+    near = F.filter("lines_", lambda x: F.length(x).between(lengths[0] * 15 // 16, lengths[-1] * 5 // 4))
     # only the digest of a line of a known length can be known
-    hits = F.transform(
-        F.filter(hits, lambda x: F.length(x).isin(*sorted(set(lengths)))), lambda x: F.try_element_at(lookup, F.sha2(x.cast("binary"), 256))
+    near = F.filter(_spelled(near), lambda x: F.length(x).isin(*lengths))
+    whole = _spelled(F.array(F.array_join("lines_", " ")))[0]
+    rows = stored(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.coalesce(F.col("text"), F.lit(""))).alias("lines_"))
+        .select("doc_id", F.sha2(whole.cast("binary"), 256).alias("digest"), F.array_distinct(F.transform(near, lambda x: F.sha2(x.cast("binary"), 256))).alias("of_lines"))
+        .withColumn("row", F.xxhash64("doc_id", "digest", "of_lines"))
     )
+    found = rows.select("row", F.explode("of_lines").alias("digest")).join(table, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
+    none = F.array().cast("array<string>")
     return (
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.sha2(canonical(text).cast("binary"), 256).alias("canonical_sha256"),
-            F.array_sort(F.array_distinct(F.array_compact(hits))).alias("notices"),
-        )
-        .join(table, "canonical_sha256", "left")
-        .select("doc_id", "canonical_sha256", "license_id", "notices")
+        rows.drop("of_lines").join(table, "digest", "left").join(small_side(stored(found)), "row", "left")
+        .select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", F.coalesce("notices", none).alias("notices"))
     )
