@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bitmap, distinct, in_bitmap, map_batches, mixed, stored, windows, word_hashes
 from .components import components
 
-#: Buckets of the sketch of shingle frequencies, and how many of them make a row of it.
-SKETCH_BITS = 18
+#: Buckets of the sketches of shingle and of word frequencies, and how many of them make a row of it.
+SHINGLE_BITS, WORD_BITS = 18, 16
 CHUNK = 1 << 14
 NEED_BITS = 26
 #: A tile holds at most so many rows a side, and about so many shingles.
@@ -83,76 +83,96 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _describe(rule: Rule):
-    """Of each document: row key, class, set size and signature; at the end counts of the shingles seen, by bucket.
+    """Of each document: row key, class, set size and signature; at the end counts of the shingles and words seen, by bucket.
 
-    A task's counts go up to 65535, so that what is sent is of fixed size; kind 1 marks their rows, n being the chunk.
+    A task's counts go up to 65535, so that what is sent is of fixed size; kind 1 marks the shingles' rows and kind 2 the
+    words', n being the chunk.
     """
     names = ["doc_id", "text_hash", "node", "n", "bits", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen = [np.zeros(1 << SHINGLE_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)]
         for batch in batches:
-            nodes, sizes, bits, spots = [], [], [], [np.zeros(0, np.int64)]
+            nodes, sizes, bits, spots = [], [], [], ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
             for text in batch.column(2).to_pylist():
-                found = rule.shingles(word_hashes(text))
-                spots.append(_signed(found & np.uint64(len(seen) - 1)))
+                words = word_hashes(text)
+                found = rule.shingles(words)
+                for spot, x, count in zip(spots, (found, words), seen, strict=True):
+                    spot.append(_signed(x & np.uint64(len(count) - 1)))
                 nodes.append(_node(found) if len(found) else None)
                 sizes.append(len(found))
                 bits.append(signature(found) if len(found) else None)
-            seen += np.bincount(np.concatenate(spots), minlength=len(seen))
+            for count, spot in zip(seen, spots, strict=True):
+                count += np.bincount(np.concatenate(spot), minlength=len(count))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(len(sizes), np.int32))], names=names)
-        if seen.any():
-            parts = np.minimum(seen, 65535).astype(np.uint16).reshape(-1, CHUNK)
-            none = pa.nulls(len(parts), pa.int64())
-            yield pa.record_batch([none, none, none, pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.ones(len(parts), np.int32))], names=names)
+        for kind, count in enumerate(seen, 1):
+            if count.any():
+                parts = np.minimum(count, 65535).astype(np.uint16).reshape(-1, CHUNK)
+                none = pa.nulls(len(parts), pa.int64())
+                yield pa.record_batch([none, none, none, pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.full(len(parts), kind, np.int32))], names=names)
 
     return run
 
 
-def _frequencies(chunks: DataFrame) -> np.ndarray:
-    """64 times the logarithm of each bucket's count, from chunk rows (n, bits) of all tasks, summed chunk by chunk."""
+def _counts(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all shingle buckets and of all word buckets, from chunk rows (kind, n, bits) of all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for n, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(n, np.zeros(CHUNK, np.int64))
-                total[n] += np.frombuffer(bits, np.uint16)
+            for kind, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total.setdefault((kind, n), np.zeros(CHUNK, np.int64))
+                total[kind, n] += np.frombuffer(bits, np.uint16)
         if total:
-            logs = [np.minimum(64 * np.log2(1 + x), 4095).astype(np.uint16).tobytes() for x in total.values()]
-            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(logs, pa.binary())], names=["n", "bits"])
+            kind, n = zip(*total, strict=True)
+            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["kind", "n", "bits"])
+
+    out = np.zeros(1 << SHINGLE_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+    rows = map_batches(chunks.select("kind", "n", "bits").repartition("kind", "n"), run, "kind int, n long, bits binary").toArrow()
+    for kind, n, bits in zip(*(rows[c].to_pylist() for c in ("kind", "n", "bits")), strict=True):
+        out[kind - 1][n * CHUNK : (n + 1) * CHUNK] = np.frombuffer(bits, np.int64)
+    return out
+
 
-    weights = np.zeros(1 << SKETCH_BITS, np.uint64)
-    rows = map_batches(chunks.select("n", "bits").repartition("n"), run, "n long, bits binary").toArrow()
-    for n, bits in zip(rows["n"].to_pylist(), rows["bits"].to_pylist(), strict=True):
-        weights[n * CHUNK : (n + 1) * CHUNK] = np.frombuffer(bits, np.uint16)
-    return weights
+def _weights(counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """By shingle bucket how far its count stands out from the others', as a power of 2 of their spread; by word bucket the
+    logarithm of its count."""
+    shingles, words = counts
+    usual = np.median(shingles)
+    out = np.maximum(shingles - usual, 0) / (4 * np.sqrt(usual) + 1)
+    return np.minimum(np.log2(1 + out), 15).astype(np.uint64), (8 * np.log2(1 + words)).astype(np.uint64)
 
 
-def _prefixes(rule: Rule, weights: np.ndarray):
+def _prefixes(rule: Rule, weights: tuple[np.ndarray, np.ndarray]):
     """key, node and sized (set size, and above 40 bits of it the size band) for the first shingles of each set, the rare ones first.
 
-    weights holds the logarithm of each shingle bucket's count. A shingle's key is its weight above 52 bits of its
-    hash, and the order is that of the keys: the same for all documents, which is all that the join's correctness
-    needs. A class met again in a task is left out.
+    A shingle's key is its weight above 49 bits of its hash, and the order is that of the keys: the same for all
+    documents, which is all that the join's correctness needs. The weight is first that of its bucket, which shows what
+    many documents share, then the sum of its words'. A class met again in a task is left out.
     """
-
     bands = rule.bands()
+    often, word_weights = weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for text in batch.column(0).to_pylist():
-                found = rule.shingles(word_hashes(text))
-                if not len(found):
+                words = word_hashes(text)
+                if not len(words):
                     continue
+                hashes = windows(words, rule.words)
+                found = distinct(hashes)
                 node = _node(found)
                 if node in done:
                     continue
                 done.add(node)
-                order = np.sort(weights[found & np.uint64(len(weights) - 1)] << np.uint64(52) | found >> np.uint64(12))
-                take = order[: rule.prefix(len(found))]
+                one = word_weights[words & np.uint64(len(word_weights) - 1)]
+                heavy = one[: len(hashes)].copy()
+                for i in range(1, len(words) - len(hashes) + 1):
+                    heavy += one[i : i + len(hashes)]
+                weight = often[hashes & np.uint64(len(often) - 1)] << np.uint64(11) | np.minimum(heavy, np.uint64(2047))
+                take = distinct(weight << np.uint64(49) | hashes >> np.uint64(15))[: rule.prefix(len(found))]
                 keys.append(_signed(take))
                 nodes.append(np.full(len(take), node, np.int64))
                 sizes.append(np.full(len(take), len(found), np.int64))
@@ -303,8 +323,8 @@ def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     copies costs links in proportion to its size, and signatures alone decide whose sets are fetched. The text is
     read three times, or four; shuffled are keys, identifiers, signatures, and the sets of what signatures could not
     tell apart. Keys that two classes share are found by partial aggregation and a join of stored tables, which
-    adaptive execution can split. What reaches the driver are two tables of fixed size: shingle counts by bucket and a
-    bitmap of needed texts, in which false hits cost time only.
+    adaptive execution can split. What reaches the driver are tables of fixed size: shingle and word counts by bucket
+    and a bitmap of needed texts, in which false hits cost time only.
 
     Shingles and classes are told apart by 64-bit hashes.
     """
@@ -312,7 +332,7 @@ def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own_id = F.coalesce("doc_id", "text_hash").alias("id")
     described = stored(map_batches(texts, _describe(rule), "doc_id long, text_hash long, node long, n long, bits binary, kind int"))
     sets = described.where("kind = 0").select("doc_id", "text_hash", "node", "n")
-    weights = _frequencies(described.where("kind = 1"))
+    weights = _weights(_counts(described.where("kind > 0")))
     classes = stored(
         described.where("kind = 0 and node is not null").groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.min(own_id).alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
