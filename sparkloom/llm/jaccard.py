@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, distinct, in_bitmap, map_batches, mixed, stored, windows, word_hashes
+from .common import bitmap, distinct, in_bitmap, map_batches, mixed, small_side, stored, windows, word_hashes
 from .components import components
 
 #: Buckets of the sketches of shingle and of word frequencies, and how many of them make a row of it.
@@ -143,9 +143,11 @@ def _weights(counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndar
     return np.minimum(np.log2(1 + out), 15).astype(np.uint64), (8 * np.log2(1 + words)).astype(np.uint64)
 
 
-def _prefixes(rule: Rule, weights: tuple[np.ndarray, np.ndarray]):
+def _prefixes(rule: Rule, weights: tuple[np.ndarray, np.ndarray], needed: np.ndarray | None = None):
     """key, node and sized (set size, and above 40 bits of it the size band) for the first shingles of each set, the rare ones first.
 
+    With needed, a bitmap, only the keys that it may hold.
+
     A shingle's key is its weight above 49 bits of its hash, and the order is that of the keys: the same for all
     documents, which is all that the join's correctness needs. The weight is first that of its bucket, which shows what
     many documents share, then the sum of its words'. A class met again in a task is left out.
@@ -173,6 +175,8 @@ def _prefixes(rule: Rule, weights: tuple[np.ndarray, np.ndarray]):
                     heavy += one[i : i + len(hashes)]
                 weight = often[hashes & np.uint64(len(often) - 1)] << np.uint64(11) | np.minimum(heavy, np.uint64(2047))
                 take = distinct(weight << np.uint64(49) | hashes >> np.uint64(15))[: rule.prefix(len(found))]
+                if needed is not None:
+                    take = take[in_bitmap(needed, take)]
                 keys.append(_signed(take))
                 nodes.append(np.full(len(take), node, np.int64))
                 sizes.append(np.full(len(take), len(found), np.int64))
@@ -298,7 +302,7 @@ def _tile_links(rule: Rule, tiles: DataFrame, classes: DataFrame, sets_of) -> Da
     rows = tiles.join(classes.select("node", "n", "bits"), "node").select("tile", "node", "comp", "side", "n", "bits")
     proposed = pa.schema([(c, pa.int64()) for c in ("tile", "node", "comp", "n")])
     groups = stored(_by_tile(rows, _over_tiles(propose, ["node", "comp", "side", "n", "bits"], proposed), "tile long, node long, comp long, n long").distinct())
-    rows = groups.join(sets_of(groups.select("node").distinct()), "node").select("tile", "node", "comp", "n", "items")
+    rows = sets_of(groups.select("node").distinct()).join(small_side(groups), "node").select("tile", "node", "comp", "n", "items")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     return stored(_by_tile(rows, _over_tiles(settle, ["node", "comp", "n", "items"], links), "a long, b long"))
 
@@ -315,16 +319,19 @@ def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     An empty table gives no rows.
 
     How no link is lost: two linked sets share a shingle among the first prefix(n) of an order common to all, so
-    they meet under that key, in tiles of one size band or two neighbouring ones. The order is by a sketch of the
-    shingles' frequencies, so what many documents share comes last and rarely is a key. Tiles hold at most TILE_ROWS
-    rows a side; a key with more rows is cut into slices. Two cheap rounds first join what meets in one slice
-    under a class's smallest key; keys whose rows are then all joined need no more work. For the others every
-    pair of slices is compared, signatures first. Within a tile, pairs joined already are passed over, so a group of
-    copies costs links in proportion to its size, and signatures alone decide whose sets are fetched. The text is
-    read three times, or four; shuffled are keys, identifiers, signatures, and the sets of what signatures could not
-    tell apart. Keys that two classes share are found by partial aggregation and a join of stored tables, which
-    adaptive execution can split. What reaches the driver are tables of fixed size: shingle and word counts by bucket
-    and a bitmap of needed texts, in which false hits cost time only.
+    they meet under that key, in tiles of one size band or two neighbouring ones. The order is by sketches of the
+    shingles' and the words' frequencies, so what many documents share comes last and rarely is a key. Tiles hold at
+    most TILE_ROWS rows a side; a key with more rows is cut into slices. Two cheap rounds first join what meets in one
+    slice under a class's smallest key; keys whose rows are then all joined need no more work. For the others every
+    pair of slices is compared, signatures first: R classes that stay apart under one key cost R * R / TILE_ROWS rows.
+    Within a tile, pairs joined already are passed over, so a group of copies costs links in proportion to its size,
+    and signatures alone decide whose sets are fetched.
+
+    The text is read four times, or five; shuffled are keys, identifiers, signatures, and the sets of what signatures
+    could not tell apart. Keys that two classes share are found by partial aggregation and a join, which adaptive
+    execution can split and before which a bitmap of them leaves out most others. What reaches the driver are tables
+    of fixed size: shingle and word counts by bucket, and bitmaps of shared keys and of needed texts, in which false
+    hits cost time only.
 
     Shingles and classes are told apart by 64-bit hashes.
     """
@@ -338,9 +345,11 @@ def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.min(own_id).alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     )
 
-    keys = stored(map_batches(texts.select("text"), _prefixes(rule, weights), "key long, node long, sized long"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    member = stored(stored(keys.join(shared, "key")).distinct())
+    def keys(needed: np.ndarray | None = None) -> DataFrame:
+        return map_batches(texts.select("text"), _prefixes(rule, weights, needed), "key long, node long, sized long")
+
+    shared = stored(keys().groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"))
+    member = stored(stored(keys(bitmap(shared, F.col("key"), NEED_BITS)).join(shared, "key")).distinct())
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """node and items, at least of these nodes, by one more pass over the text."""
@@ -363,7 +372,7 @@ def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     known = components(links)
 
     # keys that still hold rows of more than one component
-    labelled = stored(member.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
+    labelled = stored(member.join(small_side(known), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"))
     open_keys = stored(open_keys.where("x <> y").groupBy("rows", "who", "sum").agg(F.min("key").alias("key")).select("key"))
     if not open_keys.isEmpty():
@@ -394,7 +403,7 @@ def linked_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         if not more.isEmpty():
             known = components(links.unionAll(more))
 
-    to_root = classes.select("node", "doc_id").join(known, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    to_root = classes.select("node", "doc_id").join(small_side(known), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = to_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answer = to_root.join(smallest, "root").select("node", "root", "component_id")
     with_set = sets.where("node is not null").join(answer, "node").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", "component_id")

@@ -624,6 +624,15 @@ def test_full_licenses_of_the_table(spark):
     assert {n: i for n, (i, _) in got.items()} == {n: want[n] for n in got}
 
 
+def test_small_side_is_proved_by_bytes(spark):
+    """Few long rows are not small, many short ones may be."""
+    marked = lambda df, most: "ResolvedHint" in common.small_side(df, most)._jdf.queryExecution().analyzed().toString()
+    few = spark.createDataFrame([(1, "x" * 5000, ["y" * 5000])], "k long, t string, l array<string>")
+    assert not marked(few, 9000) and marked(few, 20_000)
+    assert marked(spark.range(1000), 16_000) and not marked(spark.range(1001), 16_000)
+    assert marked(few.limit(0), 0)
+
+
 def test_word_hashes_by_segments(monkeypatch):
     text = ("Ab  cd\té\x0b" * 50 + "z" * 300).encode()
     whole = common.word_hashes(text)
