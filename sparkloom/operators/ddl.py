@@ -13,7 +13,7 @@ from ..plans import nodes as N
 from ..plans.emit import Emitter
 from ..plans.lexer import SqlError
 from ..sources.storage import stored
-from .dml import in_order
+from .dml import in_order, settled
 
 
 class ConstraintError(SqlError):
@@ -152,7 +152,7 @@ def apply(engine, s: N.Node) -> None:
                 return
             raise SqlError(f"{name} exists")
         if s.query is not None:
-            engine.register(name, engine.query(s.query))
+            engine.register(name, settled(engine.query(s.query), s.query))
             return
         ddl = ", ".join(f"`{c.name}` {_type(c.type)}" for c in s.columns)
         engine.register(name, engine.spark.createDataFrame([], StructType.fromDDL(ddl)))

@@ -14,6 +14,8 @@ from ..sources.storage import stored
 
 ROW, ORDINAL = "row__", "ordinal__"
 DEFAULT = N.Col(("DEFAULT",))
+#: Functions that give another value each time; rows that hold their values are written at once.
+VOLATILE = {"NOW", "GETDATE", "CURDATE", "CURRENT_TIMESTAMP", "CURRENT_DATE", "RAND", "RANDOM", "RANDN", "UUID", "SHUFFLE"}
 
 
 @dataclass
@@ -26,6 +28,11 @@ class Mutation:
     output: DataFrame | None = None
 
 
+def settled(rows: DataFrame, *parts) -> DataFrame:
+    """rows, stored if a function in parts of the statement would give other values when they are read again."""
+    return stored(rows) if any(isinstance(x, N.Call) and x.name in VOLATILE for x in N.walk(parts)) else rows
+
+
 def target(s: N.Node) -> str:
     return ".".join(s.table.parts).lower()
 
@@ -247,7 +254,7 @@ def _update(engine, s: N.Update, dialect: str) -> Mutation:
         hit = f"coalesce({emit.expr(s.where)}, false)" if s.where is not None else "true"
         images = _select(engine, s, table, [*old, *new.values(), f"{hit} AS hit__"], dialect, ((), ()))
     after = [F.when(F.col("hit__"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) if c.lower() in new else F.col(f"o_{c}") for c in columns]
-    images = images.select("hit__", *(F.col(f"o_{c}") for c in columns), *(a.alias(f"a_{c}") for a, c in zip(after, columns, strict=True)))
+    images = settled(images.select("hit__", *(F.col(f"o_{c}") for c in columns), *(a.alias(f"a_{c}") for a, c in zip(after, columns, strict=True))), s)
     changes = images.where("hit__").select(_op("UPDATE"), _image(columns, "a_", "inserted"), _image(columns, "o_", "deleted"))
     return Mutation(images.select(*(F.col(f"a_{c}").alias(c) for c in columns)), changes, _output(changes, s.returning, "inserted", dialect))
 
@@ -262,7 +269,7 @@ def _delete(engine, s: N.Delete, dialect: str) -> Mutation:
         kept, gone = rows.join(found, ROW, "left_anti").select(*columns), rows.join(found, ROW, "left_semi").select(*columns)
     else:
         hit = f"coalesce({engine.emitter(s.where, dialect).expr(s.where)}, false)" if s.where is not None else "true"
-        images = _select(engine, s, table, ["*", f"{hit} AS hit__"], dialect, ((), ()))
+        images = settled(_select(engine, s, table, ["*", f"{hit} AS hit__"], dialect, ((), ())), s)
         kept, gone = images.where("not hit__").select(*columns), images.where("hit__").select(*columns)
     changes = gone.select(_op("DELETE"), F.struct(*columns).alias("deleted"), _none(table, "inserted"))
     return Mutation(kept, changes, _output(changes, s.returning, "deleted", dialect))

@@ -144,7 +144,7 @@ class Engine:
 
     def into(self, q: N.Query, dialect: str) -> DataFrame:
         df = self.query(replace(q, first=replace(q.first, into=None)), dialect)
-        self.register(q.first.into, df)
+        self.register(q.first.into, dml.settled(df, q))
         return df
 
     def emitter(self, node: Any, dialect: str = "ansi") -> Emitter:

@@ -125,6 +125,13 @@ def test_defaults_and_numbers_in_merge_update_and_alter(spark):
     assert sorted(r.n for r in e.table("t").collect()) == [10, 20, 30]
 
 
+def test_values_of_the_moment_stay(spark):
+    e = Engine(spark).register("s", spark.range(5).selectExpr("id as k", "cast(0 as double) as r"))
+    e.script("UPDATE s SET r = RAND(); CREATE TABLE t AS SELECT k, RAND() AS r FROM s; SELECT k, RAND() AS r INTO u FROM s; DELETE FROM t WHERE RAND() < 0.5")
+    for name in "stu":
+        assert sorted(rows(e.table(name))) == sorted(rows(e.table(name)))
+
+
 def test_tables_that_others_refer_to(spark):
     e = Engine(spark)
     e.script("CREATE TABLE p (k INT PRIMARY KEY); CREATE TABLE c (k INT REFERENCES p (k) ON DELETE CASCADE); INSERT INTO p VALUES (1), (2); INSERT INTO c VALUES (1), (2)")
