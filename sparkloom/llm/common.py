@@ -12,7 +12,7 @@ from ..sources.storage import stored, workspace  # noqa: F401  for the operators
 #: What separates words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of rows that a Python worker is given at once, unless the session has a bound of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

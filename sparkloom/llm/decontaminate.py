@@ -59,25 +59,31 @@ class Words:
         digit = np.flatnonzero(_mask(pc.match_substring_regex(core, "[0-9]")))
         number = _mask(pc.is_in(self.low, _NUMBERS))
         number[digit] |= _mask(pc.match_substring_regex(core.take(pa.array(digit)), _NUMBER))
-        self.kind = np.select([_mask(pc.equal(core, "")), number, _mask(pc.is_in(self.low, _UNITS)), name], [EMPTY, NUMBER, UNIT, NAME], LITERAL)
+        self.kind = np.select([_mask(pc.equal(core, "")), number, _mask(pc.is_in(self.low, _UNITS)), name], [EMPTY, NUMBER, UNIT, NAME], LITERAL).astype(np.int8)
         self.plain = np.where(number, _CODES[0], self.written)
         self.masked = np.where(self.kind == NAME, _CODES[1], self.plain)
         rows = found.indices.to_numpy()
-        text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(words.offsets.to_numpy()))
         solid = self.kind[rows] != EMPTY
         self.rows, self.text = rows[solid], text[solid]
 
-    def codings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each coding the words' codes and which are slots; a unit word is one after a number only.
+    def coded(self, coding: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words' codes in a coding, and which are slots; a unit word is one after a number only.
 
-        The last coding, as written, has no slots.
+        As written no word is a slot.
         """
         kind = self.kind[self.rows]
-        number, unit = kind == NUMBER, np.zeros(len(kind), bool)
-        unit[1:] = (kind[1:] == UNIT) & number[:-1] & (self.text[1:] == self.text[:-1])
-        slots = number | unit
-        out = [(np.where(unit, _CODES[2], codes[self.rows]), slot) for codes, slot in ((self.plain, slots), (self.masked, slots | (kind == NAME)))]
-        return [*out, (self.written[self.rows], np.zeros(len(kind), bool))]
+        if coding == WRITTEN:
+            return self.written[self.rows], np.zeros(len(kind), bool)
+        slot = kind == NUMBER
+        unit = np.zeros(len(kind), bool)
+        unit[1:] = (kind[1:] == UNIT) & slot[:-1] & (self.text[1:] == self.text[:-1])
+        codes = (self.masked if coding else self.plain)[self.rows]
+        codes[unit] = _CODES[2]
+        slot |= unit
+        if coding:
+            slot |= kind == NAME
+        return codes, slot
 
     def slots(self, slot: np.ndarray, at: int, size: int) -> list[str]:
         """The slots among size words from at, in order."""
@@ -150,7 +156,7 @@ def _item_rows(k: int):
                 words = Words(pa.array([raw], pa.binary()))
                 if not len(words.rows):
                     continue
-                size, rk, coded = min(len(words.rows), k), _row_key(raw), words.codings()
+                size, rk, coded = min(len(words.rows), k), _row_key(raw), [words.coded(coding) for coding in range(3)]
                 hashes = [_hashes(codes, slot, words.text, size, coding, k) for coding, (codes, slot) in enumerate(coded)]
                 whole = (hashes[0] != 0).all() and words.kind[words.rows[0]] != UNIT
                 for coding in range(2 if whole else 3):
@@ -173,11 +179,10 @@ def _document_rows(k: int, needed: np.ndarray, sought: list[tuple[int, int]]):
         for batch in batches:
             out: list[tuple] = []
             words = Words(batch.column(1))
-            coded = words.codings()
             starts = np.searchsorted(words.text, np.arange(batch.num_rows))
             keys: dict[int, tuple] = {}
             for coding, size in sought:
-                codes, slot = coded[coding]
+                codes, slot = words.coded(coding)
                 found = _hashes(codes, slot, words.text, size, coding, k)
                 spots = np.flatnonzero(found)
                 spots = spots[in_bitmap(needed, found[spots])]
